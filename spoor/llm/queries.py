@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import quality_rules, simhash
-from spoor.llm.common import materialize, table
+from spoor.llm import line_dedup, mixing, packing, quality_rules, simhash
+from spoor.llm.common import materialize, table, total
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,30 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"stats.{c}" for c in [*quality_rules.BASE, "base_failed"]], "kept")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.col("removed_lines")
+    return cut.select(
+        "doc_id", "text", F.size(gone).cast("long").alias("n_removed"), total(gone).alias("removed_sum")
+    )
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "mix.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_simhash, op2_quality_rules, op5_best_fit_packing, op7_line_dedup, op8_source_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": line_dedup.oracle(),
+        "op8_source_mixing": mixing.oracle(),
+    }
