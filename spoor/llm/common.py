@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,3 +57,12 @@ def total(values: Column) -> Column:
 def source_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns an operator works on, so other columns cannot clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as compressed Parquet to the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spoor-checkpoint-")
+    path = f"{root}/spoor-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -140,6 +140,10 @@ TABLE = [
     (1, 0.0, 40, 0.0, 50, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (9, 0.0, 20, 0.0, 120, 0.0, 1, 0, 1), (12, 0.0, 8, 0.0, 30, 0.0, 1, 0, 1),
     (6, 1.0, 30, 0.0, 60, 0.0, 1, 0, 1), (2, 0.5, 70, 0.0, 12, 0.0, 1, 0, 1), (150, 0.05, 1, 1.0, 9, 0.1, 1, 0, 1), (1, 0.0, 1, 1.0, 14, 0.0, 1, 0, 1),
     (14, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (8, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1), (1, 1.0, 1, 0.0, 2, 0.0, 1, 0, 1), (5, 0.0, 6, 0.0, 0, 0.0, 1, 0, 1),
+    # short or linked blocks that would not be the main text elsewhere are, within an article
+    (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1), (4, 1.0, 3, 1.0, 40, 0.0, 1, 0, 1), (10, 0.9, 8, 1.0, 9, 1.0, 1, 0, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1),
+    (5, 0.0, 3, 0.7, 4, 1.0, 1, 0, 1), (25, 0.8, 20, 0.9, 30, 0.7, 1, 0, 1), (60, 0.9, 40, 0.8, 50, 0.9, 1, 0, 1), (2, 0.5, 4, 0.0, 0, 0.0, 1, 0, 1),
+    (3, 0.0, 5, 0.0, 3, 0.0, 1, 0, 1), (4, 0.0, 4, 0.0, 0, 0.0, 1, 0, 1), (5, 1.0, 70, 0.0, 60, 0.0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1),
     # adverts, notices and comments within or beside an article
     (14, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0), (9, 0.0, 80, 0.0, 90, 0.0, 1, 1, 0), (60, 0.0, 40, 0.0, 40, 0.0, 1, 1, 0), (3, 1.0, 100, 0.0, 80, 0.0, 1, 1, 0),
     (40, 0.0, 30, 0.0, 25, 0.0, 0, 1, 0), (120, 0.1, 90, 0.0, 5, 1.0, 0, 1, 0), (1, 0.0, 60, 0.0, 1, 0.0, 1, 1, 0), (25, 0.0, 0, 0.0, 30, 0.0, 1, 1, 0),

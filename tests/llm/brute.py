@@ -69,3 +69,37 @@ def quality_base(text):
         "n_repeat_words": len(covered),
         "base_failed": n < 50 or 100 * len(covered) > 50 * n,
     }
+
+
+def embedding_links(rows, cosine=0.95):
+    """rows: (vec_id, vector). vec_id -> (links, component), in double precision."""
+    import numpy as np
+
+    def usable(v):
+        return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    ok = [(i, np.array(v, dtype=float)) for i, v in rows if usable(v)]
+    u, n = Union(), {i: 0 for i, _ in rows}
+    for i, _ in rows:
+        u.find(i)
+    for a, (i, x) in enumerate(ok):
+        for j, y in ok[:a]:
+            if len(x) == len(y) and float(x @ y) / (float(np.linalg.norm(x)) * float(np.linalg.norm(y))) >= cosine:
+                n[i] += 1
+                n[j] += 1
+                u.join(i, j)
+    return {i: (n[i], u.find(i)) for i, _ in rows}
+
+
+def unigram(rows, folds=7, held=2):
+    """rows: (doc_id, text). doc_id -> (held out, tokens, known, training tokens, base score)."""
+    import math
+    import zlib
+
+    out = {i: zlib.crc32(str(i).encode()) % folds == held for i, _ in rows}
+    toks = {i: [*words(lower_ascii(t)), None] for i, t in rows}
+    c = Counter(w for i, _ in rows if not out[i] for w in toks[i])
+    n, v = sum(c.values()), len(c)
+    return {
+        i: (out[i], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for i, t in toks.items()
+    }
