@@ -97,7 +97,9 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("two segments serve distances of 0 to 3 bits")
     w = Window.partitionBy("key")
-    indexed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.key", "k.bit")
+    # a row becomes 66, so the few bytes of input must not be coalesced into a few tasks first
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = fps.repartition(parts, "fp").select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.key", "k.bit")
     whole = F.shiftright("key", 32).isin(0, 33)
     met = (
         indexed.withColumn("n", F.count("*").over(w)).withColumn("ones", F.sum("bit").over(w))
