@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spoor.llm.common import UPPER, WHITESPACE, bind, count_chars, total, without, words
+from spoor.llm.common import UPPER, WHITESPACE, bind, count_chars, materialize, total, without, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 50
+MAX_BROADCAST_GROUPS = 10_000
 #: statistic -> the least distance of its fence from the third quartile.
 SLACK = {"symbols": 50, "upper": 200, "dup_lines": 300, "repeats": 200, "word_length": 300}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -63,34 +64,28 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(WHITESPACE)) != "")
     dup = bind(lines, lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup")))
     of_words = bind(words(t), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat")))
-    raw = docs.withColumn(
-        "stats",
-        F.struct(
-            of_words.alias("w"),
-            dup.alias("l"),
-            F.length(without(t, WHITESPACE)).cast("long").alias("word_chars"),
-            count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
-            count_chars(t, UPPER).cast("long").alias("n_upper"),
-            F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"),
-            F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"),
-        ),
+    raw = F.struct(
+        of_words.alias("w"),
+        dup.alias("l"),
+        F.length(without(t, WHITESPACE)).cast("long").alias("word_chars"),
+        count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
+        count_chars(t, UPPER).cast("long").alias("n_upper"),
+        F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"),
+        F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"),
     )
-    s = F.col("stats")
-    n, chars, rep = s["w"]["n"].cast("long"), s["word_chars"], s["w"]["repeat"]
 
     def per(x: Column, y: Column, scale: int) -> Column:
-        return F.expr("0L") if x is None else F.floor(x * scale / F.greatest(y, F.lit(1)))
+        return F.floor(x * scale / F.greatest(y, F.lit(1)))
 
-    failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
-    return raw.withColumn(
-        "stats",
-        F.struct(
+    def named(s: Column) -> Column:
+        n, chars, rep = s["w"]["n"].cast("long"), s["word_chars"], s["w"]["repeat"]
+        return F.struct(
             n.alias("n_words"),
             chars.alias("word_chars"),
             s["n_symbols"].alias("n_symbols"),
             s["l"]["dup"].cast("long").alias("n_dup_lines"),
             rep.alias("n_repeat_words"),
-            failed.alias("base_failed"),
+            ((n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
             F.struct(
                 per(s["n_symbols"], chars, 1000).alias("symbols"),
                 per(s["n_upper"], chars, 1000).alias("upper"),
@@ -100,17 +95,20 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             ).alias("grid"),
             s["lang"].alias("lang"),
             s["source"].alias("source"),
-        ),
-    )
+        )
+
+    # bound, so that the optimiser cannot copy the work into every use of a field
+    return docs.withColumn("stats", bind(raw, named))
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """Counts per language, source, statistic and grid cell of the documents that pass the base rule."""
     s = F.col("stats")
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), s["grid"][m].cast("long").alias("cell")) for m in SLACK]))
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), s["grid"][m].cast("long").alias("cell")) for m in SLACK])
+    # an empty array rather than a filter, which would work the statistics out once more
+    passed = F.explode(F.when(s["base_failed"], F.slice(cells, 1, 0)).otherwise(cells))
     return (
-        stats.where(~s["base_failed"])
-        .select(s["lang"].alias("lang"), s["source"].alias("source"), cells.alias("c"))
+        stats.select(s["lang"].alias("lang"), s["source"].alias("source"), passed.alias("c"))
         .groupBy("lang", "source", "c.metric", "c.cell")
         .agg(F.count("*").alias("n"))
     )
@@ -137,7 +135,8 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge(stats: DataFrame, sketch: DataFrame) -> DataFrame:
-    """``stats`` with ``kept``; the fence tables have one row per group and join by hash."""
+    """``stats`` with ``kept``. The fences, one row per group, are broadcast if they are few; else they join by key."""
+    sketch = materialize(sketch)
     by_source = fences(sketch, ["lang", "source"]).withColumnRenamed("fences", "f_source")
     by_lang = fences(sketch, ["lang"]).withColumnRenamed("fences", "f_lang")
     overall = fences(sketch.withColumn("one", F.lit(1)), ["one"]).withColumnRenamed("fences", "f_all")
@@ -151,5 +150,7 @@ def judge(stats: DataFrame, sketch: DataFrame) -> DataFrame:
     within = F.lit(True)
     for m in SLACK:
         within = within & (s["grid"][m] <= F.element_at(F.col("_fences"), F.lit(m)))
+    groups = materialize(groups)
+    groups = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
     joined = stats.join(groups, (s["lang"] == F.col("_lang")) & (s["source"] == F.col("_source")), "left")
-    return joined.withColumn("kept", ~s["base_failed"] & F.coalesce(within, F.lit(False))).drop("_lang", "_source", "_fences")
+    return joined.withColumn("kept", F.when(s["base_failed"], F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))).drop("_lang", "_source", "_fences")
