@@ -39,14 +39,13 @@ from pyspark.sql import functions as F
 
 from spoor.llm.common import stored
 
-COMMON = 1e-5
+COMMON = 2e-6
 DIVERGENCE = 1.5
-CHUNK = 120_000  # rare words indexed per chunk
+CHUNK = 400_000  # rare words indexed per chunk
 CHUNK_DOCS = 20_000
 _FLUSH = 400_000  # distinct words counted before they are passed on
 _BATCH = 500_000  # postings looked at together
 _POST = np.dtype([("doc", "<i4"), ("next", "<i8"), ("after", "<i8")])
-_FOUND = np.dtype([("doc", "<i4"), ("delta", "<f8"), ("less", "<i8")])
 Docs = Iterator[pd.DataFrame]
 
 
@@ -118,20 +117,29 @@ def _index(root: Root, folds: int, held: int):
 
     def run(batches: Docs) -> Docs:
         part, serial = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        posts: dict[bytes, list[tuple]] = {}
         number = root.number
+        rows: list[tuple] = []
+        local: dict[bytes, int] = {}  # rare words of the chunk, numbered as they come
+        codes: list[int] = []
+        found: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Docs:
-            nonlocal rows, posts, serial
+            nonlocal rows, local, codes, found, serial
             chunk = (part << 24) + serial
             serial += 1
             yield _headers(chunk, rows)
-            words = list(posts)
-            for s in range(0, len(words), 50_000):
-                some = words[s : s + 50_000]
-                yield pd.DataFrame({"word": some, "chunk": chunk, "posts": [np.array(posts[w], dtype=_POST).tobytes() for w in some]})
-            rows, posts = [], {}
+            if local:
+                word, doc, nxt, after = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(word, kind="stable")
+                posts = np.empty(len(order), dtype=_POST)
+                posts["doc"], posts["next"], posts["after"] = doc[order], nxt[order], after[order]
+                ends = (np.cumsum(np.bincount(word)) * _POST.itemsize).tolist()
+                raw, words = posts.tobytes(), list(local)
+                for s in range(0, len(words), 50_000):
+                    e = ends[s : s + 50_000]
+                    starts = [ends[s - 1] if s else 0, *e[:-1]]
+                    yield pd.DataFrame({"word": words[s : s + 50_000], "chunk": chunk, "posts": [raw[x:y] for x, y in zip(starts, e, strict=True)]})
+            rows, local, codes, found = [], {}, [], []
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
@@ -139,16 +147,24 @@ def _index(root: Root, folds: int, held: int):
                 out = is_held(doc_id, folds, held)
                 k = len(rows) << 1 | (not out)
                 ids = np.fromiter((number.get(w, -1) for w in t), dtype=np.int64, count=len(t))
+                rare = np.flatnonzero(ids < 0)
                 common = ids[ids >= 0]
-                for i in np.flatnonzero(ids < 0).tolist():
-                    w, nxt, after = t[i], 0, 0
-                    if i + 1 < len(t):
-                        nxt = -1 - int(ids[i + 1]) if ids[i + 1] >= 0 else _code(t[i + 1])
-                        if nxt < 0 and i + 2 < len(t):
-                            after = -1 - int(ids[i + 2]) if ids[i + 2] >= 0 else _code(t[i + 2])
-                    posts.setdefault(w, []).append((k, nxt, after))
+                if len(rare):
+                    mine = []
+                    for i in rare.tolist():
+                        w = t[i]
+                        n = local.setdefault(w, len(codes))
+                        if n == len(codes):
+                            codes.append(_code(w))
+                        mine.append(n)
+                    value = np.zeros(len(t) + 2, dtype=np.int64)
+                    value[:-2] = -1 - ids
+                    value[rare] = [codes[n] for n in mine]
+                    nxt = value[rare + 1]
+                    after = np.where(nxt < 0, value[rare + 2], 0)
+                    found.append((np.array(mine), np.full(len(rare), k, dtype=np.int32), nxt, after))
                 rows.append((doc_id, out, len(t), len(common), root.base[common].sum(), root.lp[common].sum()))
-                if len(posts) >= CHUNK or len(rows) >= CHUNK_DOCS:
+                if len(local) >= CHUNK or len(rows) >= CHUNK_DOCS:
                     yield from flush()
         if rows:
             yield from flush()
@@ -190,24 +206,40 @@ def context_scores(context: np.ndarray, nxt: np.ndarray, train: np.ndarray, root
     return np.where(kept[context], np.where(known, seen[pair], unseen[context]), 0.0), kept[context] & known
 
 
+_WORD = np.dtype([("code", "<i8"), ("c", "<i4"), ("times", "<i4")])
+_DELTA = np.dtype([("at", "<i4"), ("delta", "<f8"), ("less", "<i8")])
+
+
+def _packed(words: np.ndarray, docs: np.ndarray, deltas: np.ndarray) -> bytes:
+    sizes = np.array([len(words), len(docs), len(deltas)], dtype="<i4")
+    return b"".join((sizes.tobytes(), words.tobytes(), docs.astype("<i4").tobytes(), deltas.tobytes()))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.frombuffer(blob, dtype="<i4", count=3)
+    at = 12 + n[0] * _WORD.itemsize
+    words, docs = np.frombuffer(blob, _WORD, n[0], 12), np.frombuffer(blob, "<i4", n[1], at)
+    return words, docs, np.frombuffer(blob, _DELTA, n[2], at + 4 * n[1])
+
+
 def _meet(root: Root):
-    """Rows sorted by word to rows by chunk: the word's count and root probability, and what its contexts change."""
+    """Rows sorted by word to rows by chunk: for the words met, their counts, their documents and what contexts change.
+
+    A chunk's part of a batch of words travels as one packed row."""
 
     def work(words: list[bytes], chunks: list[int], blobs: list[bytes]) -> pd.DataFrame:
-        top = np.array([w[:1] == b"\n" for w in words])
-        rows = [k for k in range(len(words)) if not top[k]]
-        out = {"chunk": chunks, "posts": list(blobs), "code": [0] * len(words), "c": [-1] * len(words), "lp": [0.0] * len(words)}
-        if rows:
+        tops = [k for k, w in enumerate(words) if w[:1] == b"\n"]
+        top = set(tops)
+        rows = [k for k in range(len(words)) if k not in top] if tops else range(len(words))
+        out_chunk, out_kind, out_blob = [chunks[k] for k in tops], [0] * len(tops), [blobs[k] for k in tops]
+        if len(rows):
             posts = np.frombuffer(b"".join(blobs[k] for k in rows), dtype=_POST)
             sizes = np.array([len(blobs[k]) // _POST.itemsize for k in rows])
-            names = np.empty(len(rows), dtype=object)
-            names[:] = [words[k] for k in rows]
-            fresh = np.array([True] + [x != y for x, y in zip(names[1:], names[:-1], strict=True)])
-            word_of_row = np.cumsum(fresh) - 1
+            names = [words[k] for k in rows]
+            word_of_row = np.cumsum([False, *(x != y for x, y in zip(names[1:], names[:-1], strict=True))])
             word = np.repeat(word_of_row, sizes)
             train = (posts["doc"] & 1).astype(float)
-            c = np.bincount(word, weights=train, minlength=int(word_of_row[-1]) + 1)
-            lp = root.of(c)
+            c = np.bincount(word, weights=train, minlength=int(word_of_row[-1]) + 1).astype(np.int32)
             delta, less = np.zeros(len(posts)), np.zeros(len(posts), dtype=np.int64)
 
             def add(at: np.ndarray, context: np.ndarray, token: np.ndarray) -> None:
@@ -223,14 +255,29 @@ def _meet(root: Root):
             add(one, word[one], posts["next"][one])
             two = np.flatnonzero((posts["next"] < 0) & (posts["after"] != 0))
             add(two, _pairs(word[two], posts["next"][two])[0], posts["after"][two])
-            found = np.empty(len(posts), dtype=_FOUND)
-            found["doc"], found["delta"], found["less"] = posts["doc"] >> 1, delta, less
-            ends = np.cumsum(sizes) * _FOUND.itemsize
-            raw = found.tobytes()
-            for k, w, e, size in zip(rows, word_of_row, ends, sizes, strict=True):
-                out["posts"][k] = raw[e - size * _FOUND.itemsize : e]
-                out["code"][k], out["c"][k], out["lp"][k] = _code(words[k]), int(c[w]), float(lp[w])
-        return pd.DataFrame(out)
+            # by chunk: rows, then their postings
+            chunk = np.array([chunks[k] for k in rows], dtype=np.int64)
+            order = np.argsort(chunk, kind="stable")
+            first = np.cumsum(sizes) - sizes
+            per = sizes[order]
+            picked = np.repeat(first[order] - (np.cumsum(per) - per), per) + np.arange(len(posts))
+            heads = np.empty(len(order), dtype=_WORD)
+            once = {w: _code(w) for w in dict.fromkeys(names)}
+            heads["code"] = np.array([once[w] for w in names], dtype=np.int64)[order]
+            heads["c"], heads["times"] = c[word_of_row[order]], per
+            docs, d, m = posts["doc"][picked] >> 1, delta[picked], less[picked]
+            cuts = np.flatnonzero(np.diff(chunk[order])) + 1
+            r0, r1 = [0, *cuts.tolist()], [*cuts.tolist(), len(order)]
+            ends = np.concatenate([[0], np.cumsum(per)])
+            for x, y in zip(r0, r1, strict=True):
+                lo, hi = int(ends[x]), int(ends[y])
+                at = np.flatnonzero((d[lo:hi] != 0) | (m[lo:hi] != 0))
+                changed = np.empty(len(at), dtype=_DELTA)
+                changed["at"], changed["delta"], changed["less"] = at, d[lo:hi][at], m[lo:hi][at]
+                out_chunk.append(int(chunk[order[x]]))
+                out_kind.append(1)
+                out_blob.append(_packed(heads[x:y], docs[lo:hi], changed))
+        return pd.DataFrame({"chunk": out_chunk, "kind": out_kind, "posts": out_blob})
 
     def run(batches: Docs) -> Docs:
         words: list[bytes] = []
@@ -252,27 +299,34 @@ def _meet(root: Root):
     return run
 
 
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+def _add_up(root: Root):
     """One chunk: the header's sums plus those of its postings."""
-    top = (pdf["c"] < 0).to_numpy()
-    blob = pdf["posts"].to_numpy()[top][0]
-    k = len(blob) // 56
-    ids, null, held, n, known, base, score = (np.frombuffer(blob, dtype="<f8" if i > 4 else "<i8", count=k, offset=8 * k * i) for i in range(7))
-    rest = pdf[~top].sort_values("code")
-    found = np.frombuffer(b"".join(rest["posts"]), dtype=_FOUND)
-    times = np.array([len(p) // _FOUND.itemsize for p in rest["posts"]], dtype=np.int64)
-    c, lp, code = (rest[x].to_numpy() for x in ("c", "lp", "code"))
-    added = np.repeat(lp, times) + found["delta"]
-    minus = found["less"] > 0
-    added[minus] -= lp[np.searchsorted(code, found["less"][minus])]
-
-    def more(x: np.ndarray) -> np.ndarray:
-        return np.bincount(found["doc"], weights=x, minlength=k) if len(found) else np.zeros(k)
-
-    out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n})
-    out.loc[null.astype(bool), "doc_id"] = pd.NA
-    known = known + more(np.repeat(c > 0, times)).astype(np.int64)
-    return out.assign(n_known=known, base=base + more(np.repeat(np.log10(c + 1.0), times)), score=score + more(added))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blob = pdf["posts"][pdf["kind"] == 0].iloc[0]
+        k = len(blob) // 56
+        ids, null, held, n, known, base, score = (np.frombuffer(blob, dtype="<f8" if i > 4 else "<i8", count=k, offset=8 * k * i) for i in range(7))
+        known, base, score = known.astype(float), base.copy(), score.copy()
+        parts = [_unpacked(x) for x in pdf["posts"][pdf["kind"] == 1]]
+        if parts:
+            words = np.concatenate([p[0] for p in parts])
+            order = np.argsort(words["code"])
+            code, lp_of = words["code"][order], root.of(words["c"].astype(float))[order]
+            for w, docs, changed in parts:
+                c = np.repeat(w["c"].astype(float), w["times"])
+                added = root.of(c)
+                extra = changed["delta"].copy()
+                minus = changed["less"] > 0
+                extra[minus] -= lp_of[np.searchsorted(code, changed["less"][minus])]
+                added[changed["at"]] += extra
+                known += np.bincount(docs, weights=c > 0, minlength=k)
+                base += np.bincount(docs, weights=np.log10(c + 1.0), minlength=k)
+                score += np.bincount(docs, weights=added, minlength=k)
+        out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n})
+        out.loc[null.astype(bool), "doc_id"] = pd.NA
+        return out.assign(n_known=known.astype(np.int64), base=base, score=score)
+
+    return run
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,7 +348,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posts = given.mapInPandas(indexed, "word binary, chunk long, posts binary").repartition(parts, "word").sortWithinPartitions("word")
-    met = posts.mapInPandas(meet, "chunk long, posts binary, code long, c long, lp double")
-    found = met.groupBy("chunk").applyInPandas(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    met = posts.mapInPandas(meet, "chunk long, kind int, posts binary")
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _add_up(shared.value)(pdf)
+
+    found = met.groupBy("chunk").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
