@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -290,11 +291,18 @@ def entropy(c: C) -> Column:
     s = _col(c)
     chars = F.filter(F.split(s, ""), lambda x: x != "")
 
-    def of(a: Column) -> Column:
-        n = F.size(a).cast("double")
-        sorted_chars = F.array_sort(a)
-        edges = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(sorted_chars, i) != F.get(sorted_chars, i - 1)))
-        counts = F.array_sort(F.transform(edges, lambda e, k: e - F.when(k == 0, F.lit(0)).otherwise(F.get(edges, k - 1))))
+    def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body(value)`` with the value computed once: a lambda's variable is not worked out again for each element."""
+        return F.transform(F.array(value), body)[0]
+
+    def from_ends(ends: Column) -> Column:
+        n = F.element_at(ends, -1).cast("double")
+        counts = F.sort_array(F.transform(ends, lambda e, k: e - F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))))
         return F.aggregate(counts, F.lit(0.0), lambda acc, m: acc - (m / n) * F.log2(m / n))
 
-    return F.when(s != "", F.transform(F.array(chars), of)[0])
+    def of(a: Column) -> Column:
+        """``a``: the sorted characters; the ends of its runs give the counts."""
+        ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(a, i) != F.get(a, i - 1)))
+        return bind(ends, from_ends)
+
+    return F.when(s != "", bind(F.sort_array(chars), of))

@@ -16,7 +16,6 @@ from spoor.functions.vocab import MAX_DEPTH, MAX_HOPS
 from spoor.operators.order import cut
 
 _ROUNDS = MAX_HOPS.bit_length() - 1
-_CHAIN_ROUNDS = 24  # chains of fewer than 2^24 hops cannot be mistaken for cycles
 
 
 def resolved_parent(own: str | Column = "proc_parent_exec_id", other: str | Column = "parent_exec_id") -> Column:
@@ -58,9 +57,8 @@ def ancestors(processes: DataFrame) -> DataFrame:
         F.col("exec_id").alias("node"), F.coalesce("_k", "exec_id").alias("to"), F.col("_k").isNotNull().cast("int").alias("hops")
     )
     up = jumps = cut(up)
-    for _ in range(_ROUNDS):
-        jumps = _double(jumps)
-    jumps = cut(jumps)
+    for _ in range(_ROUNDS):  # each round reads the last one twice, so its lineage is cut
+        jumps = cut(_double(jumps))
     endless = jumps.where(F.col("hops") >= MAX_HOPS)
     ended = jumps.where(F.col("hops") < MAX_HOPS).select("node", F.col("hops").alias("depth"), F.col("to").alias("root"), F.lit(False).alias("cycle"))
     found = ended
@@ -77,7 +75,8 @@ def _endless(up: DataFrame, endless: DataFrame) -> DataFrame:
     step = cut(up.join(endless.select("node"), "node", "left_semi").where("hops = 1").select("node", "to"))
     far = step  # images under 2^k hops, within the endless nodes; chains run out of them
     tables = [step]
-    for k in range(1, _CHAIN_ROUNDS):
+    rounds = max(_ROUNDS, step.count().bit_length())  # no chain of endless nodes is longer than there are of them
+    for k in range(1, rounds + 1):
         hop = far.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
         far = cut(far.join(hop, F.col("to") == F.col("_n")).select("node", F.col("_to").alias("to")))
         if k < _ROUNDS:
@@ -88,8 +87,7 @@ def _endless(up: DataFrame, endless: DataFrame) -> DataFrame:
     label = on_cycle.select("node", F.col("node").alias("low"))
     for t in tables:  # least node over 2, 4, ... 64 hops names a cycle of up to 64 nodes
         ahead = label.select(F.col("node").alias("_n"), F.col("low").alias("_low"))
-        label = label.join(t, "node").join(ahead, F.col("to") == F.col("_n")).select("node", F.least("low", "_low").alias("low"))
-    label = cut(label)
+        label = cut(label.join(t, "node").join(ahead, F.col("to") == F.col("_n")).select("node", F.least("low", "_low").alias("low")))
     sizes = label.groupBy("low").agg(F.count("*").alias("size"))
     entries = label.join(sizes, "low").select(F.col("node").alias("_e"), "size")
     at = endless.select("node", F.col("node").alias("pos"), F.lit(0).alias("t"))
