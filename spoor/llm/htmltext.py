@@ -213,6 +213,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", labelled: list[tuple] | None = None) -> DataFrame:
     """``pages`` with ``text``, the main text, and ``n_chars``, its code points."""
+    pages = pages.drop("text", "n_chars")  # columns of these names are replaced
     tree = grow(labelled or TABLE)
 
     @F.pandas_udf("string")

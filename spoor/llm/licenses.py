@@ -88,6 +88,7 @@ def known_digests(known: list[tuple[str, str]] = KNOWN) -> dict[str, str]:
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, text: str = "text") -> DataFrame:
     """``docs`` with ``digest``, ``license`` (of the whole text) and ``notices``: (line from 0, license) of each line that is a known notice."""
+    docs = docs.drop("digest", "license", "notices")  # columns of these names are replaced
     digests = known_digests(known)
     spark = docs.sparkSession
     values = ", ".join(f"('{d}', '{n}')" for d, n in digests.items())

@@ -84,6 +84,7 @@ def later_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the later copies cut from ``text``, and ``removed_lines`` (array of int): their places in the old text."""
+    docs = docs.drop("removed_lines")  # columns of these names are replaced
     key, h = _keys(id_col, text)
     gone = later_lines(docs, min_lines, min_words, id_col, text).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     joined = docs.join(gone, (key == F.col("_id")) & (h == F.col("_h")), "left")

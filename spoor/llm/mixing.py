@@ -52,6 +52,7 @@ def schedule(
     docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = 1, block: int = BLOCK, id_col: str = "doc_id", source: str = "source", text: str | None = None
 ) -> DataFrame:
     """``docs`` with ``mix``: struct of source, block (from 0 in its source), slot and place in the block."""
+    docs = docs.drop("mix")  # columns of these names are replaced
     shares = {**weights, OTHER: other}
     slots, d = period(shares), sum(shares.values())
     table = F.create_map(*[x for s, at in slots.items() for x in (F.lit(s), F.array(*[F.lit(t) for t in at]))])

@@ -60,6 +60,7 @@ def repeat_words(w: Column, size: int = 3) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` with ``stats``, one struct of the base counts, the gridded statistics and the group."""
+    docs = docs.drop("stats", "kept")  # columns of these names are replaced
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(WHITESPACE)) != "")
     dup = bind(lines, lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup")))

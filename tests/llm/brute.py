@@ -103,3 +103,77 @@ def unigram(rows, folds=7, held=2):
     return {
         i: (out[i], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for i, t in toks.items()
     }
+
+
+def dedup_lines(rows, min_lines, min_words):
+    """rows: (doc_id, text). doc_id -> (text left, places removed); later copies by (doc_id, place)."""
+    white = " \t\n\x0b\x0c\r"
+    seq = {i: [(k, x.strip(white)) for k, x in enumerate(t.split("\n")) if x.strip(white)] for i, t in rows if t is not None}
+    runs, lines, gone = set(), set(), {i: set() for i, _ in rows}
+    for i in sorted(seq):
+        s = seq[i]
+        for k in range(len(s)):
+            run = tuple(x for _, x in s[k : k + min_lines])
+            if len(run) == min_lines:
+                if run in runs:
+                    gone[i] |= {p for p, _ in s[k : k + min_lines]}
+                runs.add(run)
+            if len(words(s[k][1])) >= min_words:
+                if s[k][1] in lines:
+                    gone[i].add(s[k][0])
+                lines.add(s[k][1])
+    return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), sorted(gone[i])) for i, t in rows}
+
+
+def suffix_tree(rows, share, threshold, folds=7, held=2):
+    """rows: (doc_id, text). doc_id -> log10 probability by the contexts of suffix_tree.py, one position at a time."""
+    import math
+    import zlib
+    from collections import defaultdict
+
+    out = {i: zlib.crc32(str(i).encode()) % folds == held for i, _ in rows}
+    toks = {i: [*words(lower_ascii(t)), ""] for i, t in rows}
+    c = Counter(w for i in toks if not out[i] for w in toks[i])
+    n = sum(c.values())
+    u = (sum(k == 1 for k in c.values()) + 0.5) / (n + 1)
+    common = {w for w, k in c.items() if k >= max(1.0, n * share)}
+    p0 = lambda w: math.log10((1 - u) * c[w] / n) if c[w] else math.log10(u)
+    rare = math.log10(max(1.0, n * share) / n)
+
+    def context(t, j):
+        if j >= 1 and t[j - 1] not in common:
+            return (t[j - 1],)
+        if j >= 2 and t[j - 2] not in common:
+            return (t[j - 2], t[j - 1])
+        return None
+
+    after = defaultdict(Counter)
+    for i, t in toks.items():
+        if not out[i]:
+            for j in range(len(t)):
+                if x := context(t, j):
+                    after[x][t[j]] += 1
+
+    def kept(x):
+        counts = after[x]
+        m, t, gain = sum(counts.values()), len(counts), 0.0
+        for w, k in counts.items():
+            if k > 1:
+                gain += k * (math.log10((k - 1) / (m - 1 + t)) - (p0(w) if w in common else rare))
+            elif t > 1:
+                gain += math.log10((t - 1) / (m - 1 + t - 1))
+        return gain >= threshold
+
+    keep = {x for x in list(after) if kept(x)}
+    got = {}
+    for i, t in toks.items():
+        total = 0.0
+        for j, w in enumerate(t):
+            x = context(t, j)
+            if x in keep:
+                m, k = sum(after[x].values()), len(after[x])
+                total += math.log10(after[x][w] / (m + k)) if after[x][w] else math.log10(k / (m + k)) + p0(w)
+            else:
+                total += p0(w)
+        got[i] = total
+    return got
