@@ -19,17 +19,24 @@ from spoor.llm import line_dedup, mixing, packing, quality_rules, simhash
 _NULL_ID = -(1 << 63)
 
 
+def _rows(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns a stage works on beside the whole row, so no other column can clash with the stage's own."""
+    return docs.select(*[F.col(c) for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rule or lie above a fence of their language and source."""
-    stats = quality_rules.statistics(docs)
+    stats = quality_rules.statistics(_rows(docs, "text", "lang", "source"))
     judged = quality_rules.judge(stats, quality_rules.sketches(stats))
-    return judged.where("kept").select(*docs.columns)
+    return judged.where("kept").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the later copies of repeated line runs out of the texts; every document stays."""
-    cut = line_dedup.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = line_dedup.dedup_lines(_rows(docs, "doc_id", "text"))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": size}
+    return cut.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +46,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     such shingles differ by 4 to 14 bits there, more than two segments serve; those of word pairs differ by
     few, so four of them are used, close in three bits.
     """
-    keyed = docs.withColumn("_k", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    keyed = _rows(docs, "doc_id", "text").withColumn("_k", F.coalesce("doc_id", F.lit(_NULL_ID)))
     found = simhash.near_duplicates(keyed, size=2, distance=3, tables=4, id_col="_k")
     first = found.where(F.col("doc_id") == F.coalesce("component_id", F.lit(_NULL_ID))).select(F.col("doc_id").alias("_k")).distinct()
     once = F.row_number().over(Window.partitionBy("_k").orderBy("text"))
-    return keyed.join(first, "_k", "left_semi").withColumn("_n", once).where("_n = 1").select(*docs.columns)
+    kept = keyed.select("_k", "text", "_row").join(first, "_k", "left_semi").withColumn("_n", once).where("_n = 1")
+    return kept.select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Brings all documents into the order of the sources' schedule."""
-    return mixing.schedule(docs, text="text").orderBy("mix.slot", "mix.source", "mix.place").select(*docs.columns)
+    placed = mixing.schedule(_rows(docs, "doc_id", "source", "text"), text="text")
+    return placed.orderBy("mix.slot", "mix.source", "mix.place").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
