@@ -188,7 +188,11 @@ def score_windows(windows: DataFrame, w: Weights, objective: str = "mem-fa", fea
 def window_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of (window_idx, pos, columns) to one row per window with an array per column, in order of place."""
     got = df.groupBy("window_idx").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_r"))
-    return got.select("window_idx", *[F.transform("_r", lambda s, c=c: s[c]).alias(c) for c in columns])
+
+    def values(name: str):
+        return F.transform("_r", lambda s: s[name]).alias(name)
+
+    return got.select("window_idx", *[values(c) for c in columns])
 
 
 def window_score(scored: DataFrame) -> DataFrame:
