@@ -20,23 +20,27 @@ _NULL_ID = -(1 << 63)
 
 
 def _rows(docs: DataFrame, *needed: str) -> DataFrame:
-    """The columns a stage works on beside the whole row, so no other column can clash with the stage's own."""
-    return docs.select(*[F.col(c) for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The columns a stage works on, and all others in one struct, so that none can clash with the stage's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*rest, F.lit(0).alias("_")).alias("_row"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    return rows.select(*[F.col(c) if c in needed else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rule or lie above a fence of their language and source."""
     stats = quality_rules.statistics(_rows(docs, "text", "lang", "source"))
     judged = quality_rules.judge(stats, quality_rules.sketches(stats))
-    return judged.where("kept").select("_row.*")
+    return _restored(judged.where("kept"), docs, "text", "lang", "source")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the later copies of repeated line runs out of the texts; every document stays."""
     cut = line_dedup.dedup_lines(_rows(docs, "doc_id", "text"))
-    size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    new = {"text": F.col("text"), "n_chars": size}
-    return cut.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    kept = _restored(cut, docs, "doc_id", "text")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +54,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(keyed, size=2, distance=3, tables=4, id_col="_k")
     first = found.where(F.col("doc_id") == F.coalesce("component_id", F.lit(_NULL_ID))).select(F.col("doc_id").alias("_k")).distinct()
     once = F.row_number().over(Window.partitionBy("_k").orderBy("text"))
-    kept = keyed.select("_k", "text", "_row").join(first, "_k", "left_semi").withColumn("_n", once).where("_n = 1")
-    return kept.select("_row.*")
+    kept = keyed.join(first, "_k", "left_semi").withColumn("_n", once).where("_n = 1")
+    return _restored(kept, docs, "doc_id", "text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Brings all documents into the order of the sources' schedule."""
     placed = mixing.schedule(_rows(docs, "doc_id", "source", "text"), text="text")
-    return placed.orderBy("mix.slot", "mix.source", "mix.place").select("_row.*")
+    ordered = placed.orderBy("mix.slot", "mix.source", "mix.place")
+    return _restored(ordered, docs, "doc_id", "source", "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
