@@ -79,20 +79,17 @@ def _endless(up: DataFrame, endless: DataFrame) -> DataFrame:
     for k in range(1, rounds + 1):
         hop = far.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
         far = cut(far.join(hop, F.col("to") == F.col("_n")).select("node", F.col("_to").alias("to")))
-        if k < _ROUNDS:
-            tables.append(far)
-        if k >= _ROUNDS and far.isEmpty():
-            break
+        tables.append(far)
     on_cycle = cut(far.select(F.col("to").alias("node")).distinct())
     label = on_cycle.select("node", F.col("node").alias("low"))
-    for t in tables:  # least node over 2, 4, ... 64 hops names a cycle of up to 64 nodes
+    for t in tables:  # the least node over 2, 4, ... hops, at last over more than any cycle has, names the cycle
         ahead = label.select(F.col("node").alias("_n"), F.col("low").alias("_low"))
         label = cut(label.join(t, "node").join(ahead, F.col("to") == F.col("_n")).select("node", F.least("low", "_low").alias("low")))
     sizes = label.groupBy("low").agg(F.count("*").alias("size"))
     entries = label.join(sizes, "low").select(F.col("node").alias("_e"), "size")
     at = endless.select("node", F.col("node").alias("pos"), F.lit(0).alias("t"))
     flags = on_cycle.select(F.col("node").alias("_c"), F.lit(True).alias("_on"))
-    for k in reversed(range(len(tables))):  # as far as one can go and still be off every cycle
+    for k in reversed(range(_ROUNDS)):  # as far as one can go and still be off every cycle
         hop = tables[k].select(F.col("node").alias("_n"), F.col("to").alias("_to"))
         moved = at.join(hop, F.col("pos") == F.col("_n"), "left").join(flags, F.col("_to") == F.col("_c"), "left")
         go = F.col("_to").isNotNull() & F.col("_on").isNull()
