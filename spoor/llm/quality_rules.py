@@ -155,3 +155,59 @@ def judge(stats: DataFrame, sketch: DataFrame) -> DataFrame:
     groups = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
     joined = stats.join(groups, (s["lang"] == F.col("_lang")) & (s["source"] == F.col("_source")), "left")
     return joined.withColumn("kept", F.when(s["base_failed"], F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))).drop("_lang", "_source", "_fences")
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _fence_sql(name: str, keys: list[str]) -> str:
+    by = "".join(f"{k}, " for k in keys)
+    part = f"PARTITION BY {by}metric"
+    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in SLACK.items()) + " END"
+    least = MIN_GROUP if keys else 1
+    return f"""{name} AS (
+  SELECT {by}metric, q3 + greatest(3 * (q3 - q1), {slack}) AS fence FROM (
+    SELECT {by}metric, min(cell) FILTER (WHERE upto * 4 >= total) AS q1, min(cell) FILTER (WHERE upto * 4 >= total * 3) AS q3, max(total) AS docs FROM (
+      SELECT {by}metric, cell, sum(n) OVER ({part} ORDER BY cell) AS upto, sum(n) OVER ({part}) AS total
+      FROM (SELECT {by}metric, cell, count(*) AS n FROM cells GROUP BY ALL))
+    GROUP BY {by}metric) WHERE docs >= {least})"""
+
+
+def oracle() -> str:
+    """The same rows as SQL for DuckDB; ids are taken to be unique."""
+    cells = ", ".join(f"{{'metric': '{m}', 'cell': g_{m}}}" for m in SLACK)
+    return f"""
+WITH given AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: trim(x, {_WS}) <> '') AS l FROM given
+),
+grams AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM parts WHERE len(w) > 2)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM grams),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, generate_series(0, 2) AS s(j) WHERE k > 1 GROUP BY doc_id),
+counts AS (
+  SELECT p.doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate(t, {_WS}, ''))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (length(t) - length(translate(t, '{UPPER}', '')))::BIGINT AS n_upper,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM parts p LEFT JOIN covered c USING (doc_id)
+),
+grid AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         n_symbols * 1000 // greatest(word_chars, 1) AS g_symbols, n_upper * 1000 // greatest(word_chars, 1) AS g_upper,
+         n_dup_lines * 1000 // greatest(n_lines, 1) AS g_dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS g_repeats,
+         least(word_chars * 100 // greatest(n_words, 1), 10000) AS g_word_length
+  FROM counts
+),
+cells AS (SELECT lang, source, c.metric AS metric, c.cell AS cell FROM (SELECT lang, source, unnest([{cells}]) AS c FROM grid WHERE NOT base_failed)),
+{_fence_sql("by_source", ["lang", "source"])},
+{_fence_sql("by_lang", ["lang"])},
+{_fence_sql("overall", [])},
+each AS (SELECT doc_id, lang, source, unnest([{cells}]) AS c FROM grid),
+outside AS (
+  SELECT DISTINCT e.doc_id FROM each e LEFT JOIN by_source s ON s.lang = e.lang AND s.source = e.source AND s.metric = e.c.metric
+  LEFT JOIN by_lang g ON g.lang = e.lang AND g.metric = e.c.metric LEFT JOIN overall o ON o.metric = e.c.metric
+  WHERE e.c.cell > coalesce(s.fence, g.fence, o.fence)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.doc_id IS NULL AS kept
+FROM grid LEFT JOIN outside o USING (doc_id)
+"""

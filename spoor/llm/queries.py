@@ -71,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.oracle(),
         "op3_license_scan": licenses.oracle(),
         "op7_line_dedup": line_dedup.oracle(),
         "op8_source_mixing": mixing.oracle(),
