@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from spoor.functions import python as py
 from spoor.functions import scalars as s
 from spoor.functions import vocab
-from spoor.operators import boosted, forest, intervals, lineage, metrics, ngram, order, seqnet, windows
-from spoor.plans import adapter, features
+from spoor.operators import boosted, filters, forest, intervals, lineage, metrics, ngram, order, seqnet, windows
+from spoor.plans import adapter, evaluate, features
 from spoor.sources import jsonl, schema, tables
 from spoor.streaming.delta import stream_delta
 
@@ -523,6 +523,14 @@ def q_benign_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.benign(labelled(spark, sf_dir)).select("row_idx")
 
 
+@query(
+    "SELECT row_idx, kprobe_function_name FROM telemetry WHERE CASE kprobe_function_name WHEN 'security_mmap_file' THEN coalesce(kp_mmap_prot, 0) & 4 <> 0 "
+    "WHEN 'security_file_mprotect' THEN coalesce(kp_mprotect_prot, 0) & 4 <> 0 WHEN 'udp_sendmsg' THEN coalesce(kp_sock_dport = 53, false) ELSE true END"
+)
+def q_policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.policy_selected(tel(spark, sf_dir)).select("row_idx", "kprobe_function_name")
+
+
 # ---- metrics
 
 
@@ -619,6 +627,21 @@ def q_evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.evenly_spaced(tel(spark, sf_dir).select("row_idx"), n_rows(spark, sf_dir), 100)
 
 
+@query("SELECT technique_id FROM labelled WHERE technique_id IS NOT NULL GROUP BY technique_id", LABELS)
+def q_distinct_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).where("technique_id is not null").select("technique_id").distinct()
+
+
+@query("SELECT row_idx, score FROM scored ORDER BY score DESC, row_idx LIMIT 5", SCORES)
+def q_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("row_idx", "score").orderBy(F.col("score").desc(), "row_idx").limit(5)
+
+
+@query("SELECT row_idx, event_time, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, is_attack, nullif(technique_id, '') AS technique_id FROM scored".replace("row_idx, ", "", 1), SCORES)
+def q_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.score_table(scored(spark, sf_dir))
+
+
 # ---- n-grams
 
 
