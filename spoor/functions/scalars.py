@@ -31,6 +31,11 @@ def _steps(x: Column, bounds: list[int | float], first: int = 0) -> Column:
     return _first([(x < b, first + k) for k, b in enumerate(bounds)], first + len(bounds))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -131,7 +136,7 @@ def log_bucket(c: C, buckets: int = vocab.TIME_BUCKETS) -> Column:
 
 
 def entropy_bucket(c: C) -> Column:
-    return F.when(_col(c).isNull(), F.lit(0)).otherwise(_steps(_col(c), [2.0, 3.5, 4.5, 5.5], 1)).cast("int")
+    return bind(_col(c), lambda x: F.when(x.isNull(), F.lit(0)).otherwise(_steps(x, [2.0, 3.5, 4.5, 5.5], 1)).cast("int"))
 
 
 def ratio_bucket(c: C) -> Column:
@@ -196,7 +201,12 @@ def first_components(c: C, n: int) -> Column:
 
 
 def path_sensitivity(c: C) -> Column:
-    p = _col(c)
+    if not isinstance(c, str):
+        return bind(c, _path_sensitivity)
+    return _path_sensitivity(F.col(c))
+
+
+def _path_sensitivity(p: Column) -> Column:
 
     def test(s: str) -> Column:
         return p.rlike(s) if s[0] == "^" else p.contains(s[1:]) if s[0] == "*" else p.startswith(s)
@@ -206,7 +216,12 @@ def path_sensitivity(c: C) -> Column:
 
 
 def path_category(c: C) -> Column:
-    p = _col(c)
+    if not isinstance(c, str):
+        return bind(c, _path_category)
+    return _path_category(F.col(c))
+
+
+def _path_category(p: Column) -> Column:
     cases = [(_any([p.contains(s) for s in parts]), name) for name, parts in vocab.PATH_PARTS]
     return _first([(p.isNull() | (p == ""), "NONE"), *cases], "OTHER")
 
@@ -291,10 +306,6 @@ def entropy(c: C) -> Column:
     s = _col(c)
     chars = F.filter(F.split(s, ""), lambda x: x != "")
 
-    def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-        """``body(value)`` with the value computed once: a lambda's variable is not worked out again for each element."""
-        return F.transform(F.array(value), body)[0]
-
     def from_ends(ends: Column) -> Column:
         n = F.element_at(ends, -1).cast("double")
         counts = F.sort_array(F.transform(ends, lambda e, k: e - F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))))

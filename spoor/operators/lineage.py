@@ -53,14 +53,18 @@ def ancestors(processes: DataFrame) -> DataFrame:
 
     ``depth`` ends at 15; ``cycle`` also marks chains of 64 hops and more, whose root is the 64th ancestor."""
     known = processes.select(F.col("exec_id").alias("_k"))
-    up = processes.join(known, F.col("parent") == F.col("_k"), "left").select(
+    own = F.col("parent") == F.col("exec_id")  # its own parent: an end of walks, and a cycle of one
+    up = processes.join(known, (F.col("parent") == F.col("_k")) & ~own, "left").select(
         F.col("exec_id").alias("node"), F.coalesce("_k", "exec_id").alias("to"), F.col("_k").isNotNull().cast("int").alias("hops")
     )
     up = jumps = cut(up)
-    for _ in range(_ROUNDS):  # each round reads the last one twice, so its lineage is cut
-        jumps = cut(_double(jumps))
+    for k in range(_ROUNDS):  # each round reads the last one twice, so lineage is cut at every other
+        jumps = cut(_double(jumps)) if k % 2 else _double(jumps)
     endless = jumps.where(F.col("hops") >= MAX_HOPS)
-    ended = jumps.where(F.col("hops") < MAX_HOPS).select("node", F.col("hops").alias("depth"), F.col("to").alias("root"), F.lit(False).alias("cycle"))
+    loops = processes.where(own).select(F.col("exec_id").alias("_l"))
+    looped = jumps.where(F.col("hops") < MAX_HOPS).join(loops, F.col("to") == F.col("_l"), "left")
+    in_loop = F.col("_l").isNotNull()
+    ended = looped.select("node", (F.col("hops") + in_loop.cast("int")).alias("depth"), F.col("to").alias("root"), in_loop.alias("cycle"))
     found = ended
     if not endless.isEmpty():
         found = ended.unionByName(_endless(up, endless))

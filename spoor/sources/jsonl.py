@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoor.functions import vocab
-from spoor.functions.scalars import parse_time_ns
+from spoor.functions.scalars import bind, parse_time_ns
 from spoor.sources import schema
 
 DROPS = [
@@ -171,7 +171,8 @@ def _arguments(fn: Column, args: Column) -> dict[str, Column]:
 
 def classify(lines: DataFrame, config: ParserConfig, text: str = "value") -> DataFrame:
     """``lines`` with the parsed event ``e`` (type, process, parent, inner fields, time) and ``drop``: why a line is not kept."""
-    parsed = lines.where(F.trim(text) != "").withColumn("j", F.from_json(F.col(text), schema.EVENT_JSON))
+    # bound, or the optimiser would parse the line again for every field
+    parsed = lines.where(F.trim(text) != "").withColumn("j", bind(F.col(text), lambda t: F.from_json(t, schema.EVENT_JSON)))
     j = F.col("j")
     kinds = [k for k in vocab.EVENT_TYPES]
     kind = F.coalesce(*[F.when(j[k].isNotNull(), F.lit(k)) for k in kinds])
