@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spoor.llm import line_dedup, mixing, packing, quality_rules, simhash
+from spoor.llm import line_dedup, mixing, packing, quality_rules, similar
 
 _NULL_ID = -(1 << 63)
 
@@ -44,17 +44,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates.
+    """Keeps the document with the smallest id (none counts as the smallest) of each group of near-duplicates.
 
-    Texts that share 0.8 of their shingles of five words have up to one word in fifty changed. Fingerprints of
-    such shingles differ by 4 to 14 bits there, more than two segments serve; those of word pairs differ by
-    few, so four of them are used, close in three bits.
+    Groups are of distinct texts, linked where they share 0.8 of their shingles of five words (see ``similar``);
+    where ids are equal, a hash of the text decides, so an id never removes another text.
     """
-    keyed = _rows(docs, "doc_id", "text").withColumn("_k", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    found = simhash.near_duplicates(keyed, size=2, distance=3, tables=4, id_col="_k")
-    first = found.where(F.col("doc_id") == F.coalesce("component_id", F.lit(_NULL_ID))).select(F.col("doc_id").alias("_k")).distinct()
-    once = F.row_number().over(Window.partitionBy("_k").orderBy("text"))
-    kept = keyed.join(first, "_k", "left_semi").withColumn("_n", once).where("_n = 1")
+    keyed = _rows(docs, "doc_id", "text").withColumns({"_k": F.coalesce("doc_id", F.lit(_NULL_ID)), "_t": similar.node(F.col("text"))})
+    found = similar.similar(keyed.select(F.col("_t").alias("node"), "text"))
+    group = keyed.select("_k", "_t").join(found, F.col("_t") == F.col("node"), "left").withColumn("_g", F.coalesce("component", "_t"))
+    first = group.groupBy("_g").agg(F.min(F.struct("_k", "_t")).alias("m")).select("m._k", "m._t")
+    once = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("text"))
+    kept = keyed.join(first, ["_k", "_t"], "left_semi").withColumn("_n", once).where("_n = 1")
     return _restored(kept, docs, "doc_id", "text")
 
 
