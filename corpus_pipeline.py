@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 from spoor.llm import line_dedup, mixing, packing, quality_rules, similar
 
 _NULL_ID = -(1 << 63)
+#: Documents packed together: four periods of the mixing schedule.
+RUN = 4 * mixing.BLOCK * (sum(mixing.WEIGHTS.values()) + 1)
 
 
 def _rows(docs: DataFrame, *needed: str) -> DataFrame:
@@ -65,9 +68,30 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _restored(ordered, docs, "doc_id", "source", "text")
 
 
+def _places(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_place``: how many rows stand before each, file by file as they were written."""
+    spark = docs.sparkSession
+    try:
+        at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files: as the rows come
+        each = docs.withColumn("_id", F.monotonically_increasing_id())
+        at = each.withColumns({"_file": F.lpad(F.shiftright("_id", 33).cast("string"), 12, "0"), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    files = at.groupBy("_file").agg(F.max("_row").alias("n")).collect()  # a row per file
+    start, rows = 0, []
+    for r in sorted(files):
+        rows.append((r["_file"], start))
+        start += r["n"] + 1
+    starts = F.broadcast(spark.createDataFrame(rows, "_file string, _start long"))
+    return at.join(starts, "_file").withColumn("_place", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every token of the documents into sequences of at most 1024."""
-    return packing.pack_documents(docs)
+    """Packs every token into sequences of at most 1024, run after run of ``RUN`` documents in the order they have.
+
+    Mixing has ordered them, and a run of whole periods has its target weights, so the sequences keep them from run to run.
+    """
+    run = F.floor(F.col("_place") / RUN).cast("long")
+    return packing.pack_runs(_places(docs.select("doc_id", "text")).withColumn("run", run))
 
 
 STAGES = [

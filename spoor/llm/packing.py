@@ -59,25 +59,27 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(
-    docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None, keep_ids: bool = False, id_col: str = "doc_id", text: str = "text"
+    docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None, keep_ids: bool = False, id_col: str = "doc_id", text: str = "text", run_col: str | None = None
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every piece."""
+    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, and ``run`` of the document) of every piece."""
     file = ranks_file or tokenizer_files()[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(file)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, t in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, t, *of in zip(*(batch[c] for c in columns), strict=True):
                 ids = np.array([*enc.encode(t or "", allowed_special="all", disallowed_special=()), END], dtype="<u4")
                 for k, (s, n) in enumerate(cuts(len(ids), capacity)):
                     part = ids[s : s + n]
-                    out.append((doc_id, k, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if keep_ids else [])))
+                    out.append((doc_id, k, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if keep_ids else []), *of))
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    columns = ["doc_id", "text", *["run"] * bool(run_col)]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, *["run"] * bool(run_col)]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", run long" * bool(run_col)
+    runs = [F.col(f"`{run_col}`").cast("long").alias("run")] if run_col else []
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *runs)
     return given.mapInPandas(_nullable_ids(run), schema)
 
 
@@ -204,6 +206,18 @@ def _lookup(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
     return {n: tuple(np.array(x, dtype=np.int64) for x in zip(*r, strict=True)) for n, r in rows.items()} | {0: (np.array(offsets, dtype=np.int64),)}
 
 
+def _place(n: np.ndarray, rank: np.ndarray, table: dict[int, tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces from their length and their rank among those of that length."""
+    seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    for x in np.unique(n):
+        m = n == x
+        first, per, base, at = table[int(x)]
+        k = np.searchsorted(first, rank[m], side="right") - 1
+        inner = rank[m] - first[k]
+        seq[m], off[m] = base[k] + inner // per[k], table[0][0][at[k] + inner % per[k]]
+    return seq, off
+
+
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (materialised pieces) with ``sequence_id`` and ``offset``."""
     counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
@@ -211,14 +225,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(), rank.to_numpy()
-        seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-        for x in np.unique(n):
-            m = n == x
-            first, per, base, at = table[int(x)]
-            k = np.searchsorted(first, r[m], side="right") - 1
-            inner = r[m] - first[k]
-            seq[m], off[m] = base[k] + inner // per[k], table[0][0][at[k] + inner % per[k]]
+        seq, off = _place(length.to_numpy(), rank.to_numpy(), table)
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
@@ -236,6 +243,22 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str |
     return pack(materialize(pieces(docs, capacity, ranks_file, keep_ids, id_col, text)), capacity)
 
 
+def pack_runs(docs: DataFrame, capacity: int = CAPACITY, run_col: str = "run") -> DataFrame:
+    """The pieces of all documents packed run by run, each run of bounded size by a plan of its own.
+
+    Sequences of a run have ids from ``run << 32``, so ids follow the runs; no sequence holds two runs."""
+    found = pieces(docs, capacity, run_col=run_col)
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
+        table = _lookup(plan({int(k): int(n) for k, n in got["length"].value_counts().items()}, capacity))
+        rank = got.groupby("length").cumcount().to_numpy()
+        seq, off = _place(got["length"].to_numpy(), rank, table)
+        return got.drop(columns="run").assign(sequence_id=(got["run"].to_numpy() << 32) + seq, offset=off)
+
+    return found.groupBy("run").applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """``sequence_id, ids``: the packed token sequences of pieces that keep their ids (at most ``capacity`` tokens each)."""
     got = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
