@@ -14,6 +14,8 @@ has its whole word sequence as its only shingle; texts without words are alike.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -21,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.llm import simhash
-from spoor.llm.common import materialize
+from spoor.llm.common import materialize, stored
 from spoor.llm.components import components
 
 SIZE, SHARE = 5, 0.8
 BANDS, ROWS = 20, 5
-BLOCK = 512
+BLOCK = 4_000_000  # shingles compared at once, of one side
 _CHUNK = 1 << 14
 _SEEDS = np.random.default_rng(7).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,25 +81,27 @@ def verified_forest(pdf: pd.DataFrame, share: float = SHARE) -> pd.DataFrame:
     left, ids, side = pdf["left"].to_numpy(), pdf["node"].to_numpy(), pdf["side"].to_numpy()
     sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
     sizes = np.array([len(x) for x in sets])
-    up = list(range(len(ids)))
-
-    def root(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.argsort(np.argsort(times, kind="stable"), kind="stable")[number]
+    ends = np.cumsum(sizes)
+    tree = np.arange(len(ids))
+    index: dict[int, list[int]] = {}
     u, v = [], []
-    for x in np.flatnonzero(left).tolist():
-        others = np.flatnonzero(~left) if side[x] == "two" else np.arange(x)
-        fit = np.minimum(sizes[others], sizes[x]) >= share * np.maximum(sizes[others], sizes[x])
-        for y in others[fit].tolist():
-            a, b = root(x), root(y)
-            if a == b:
+    for x in range(len(ids)):
+        # two sets at the share have one of their rarest n - ceil(share * n) + 1 members in common
+        mine = np.sort(rarity[ends[x] - sizes[x] : ends[x]])[: sizes[x] - math.ceil(share * sizes[x] - 1e-9) + 1].tolist()
+        met = np.array(sorted({y for m in mine for y in index.get(m, ())}), dtype=np.int64)
+        for m in mine:
+            index.setdefault(m, []).append(x)
+        met = met[np.minimum(sizes[met], sizes[x]) >= share * np.maximum(sizes[met], sizes[x])]
+        if side[x] == "two":
+            met = met[left[met] != left[x]]
+        for y in met[tree[met] != tree[x]].tolist():
+            if tree[x] == tree[y]:
                 continue
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if both >= share * (sizes[x] + sizes[y] - both):
-                up[max(a, b)] = min(a, b)
+                tree[tree == tree[y]] = tree[x]
                 u.append(ids[x])
                 v.append(ids[y])
     return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
@@ -110,10 +114,10 @@ def verified(groups: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFram
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t).view(np.int64) for t in texts])
 
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
-    own = sized.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     texts = docs.select("node", "text").join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    members = own.join(texts.select("node", sets("text").alias("shingles")), "node")
+    found = stored(groups.join(texts.select("node", sets("text").alias("shingles")), "node"))
+    sized = found.join(found.groupBy("component").agg(F.sum(F.size("shingles")).alias("n")), "component")
+    members = sized.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # part i against each later part j; within a part, each text against those before it
     inner = members.select("*", F.lit(True).alias("left"), F.lit("one").alias("side"), F.col("part").alias("i"), F.col("part").alias("j"))
     large = members.where("parts > 1")
