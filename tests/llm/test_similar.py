@@ -32,7 +32,7 @@ def kept(spark, rows):
     return sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [7, 512])
+@pytest.mark.parametrize("block", [2000, 4_000_000])
 def test_only_pairs_at_the_share_are_linked_and_all_of_them(spark, block, monkeypatch):
     monkeypatch.setattr(similar.verified, "__defaults__", (block,))
     r, rows = random.Random(5), []
@@ -56,3 +56,12 @@ def test_close_fingerprints_of_unlike_texts_lose_no_document(spark):
     assert not alike(*near)
     assert min((a ^ b).bit_count() for a, b in zip(*[simhash.fingerprints_of(t, 2, 4) for t in near], strict=True)) <= 3
     assert len(kept(spark, [(k, t, "src0") for k, t in enumerate(near)])) == 2
+
+
+def test_rows_without_ids_and_shared_ids(spark):
+    r = random.Random(2)
+    say = lambda: [f"w{r.randrange(5000)}" for _ in range(120)]
+    a, b, c, d = say(), say(), say(), say()
+    rows = [(None, " ".join(a), "s"), (None, " ".join(b), "s"), (None, " ".join(b), "s"), (1, edited(r, a, 1), "s"), (2, edited(r, b, 1), "s"), (7, " ".join(c), "s"), (7, " ".join(d), "s")]
+    want = [(None, rows[0][1]), (None, rows[1][1]), (7, rows[5][1]), (7, rows[6][1])]
+    assert kept(spark, rows) == sorted(want, key=str)
