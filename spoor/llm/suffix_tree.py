@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from spoor.llm.common import stored
 
-COMMON = 2e-6
+COMMON = 1e-5
 DIVERGENCE = 1.5
 CHUNK = 400_000  # rare words indexed per chunk
 CHUNK_DOCS = 20_000
