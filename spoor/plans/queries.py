@@ -716,27 +716,33 @@ def q_loocv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stitch_folds(got.where("trial_idx < 2")).select("row_idx", "is_attack", "trial_idx", "score")
 
 
-def _network(spark: SparkSession, sf_dir: str, objective: str, mode: str = "all") -> DataFrame:
+def _network(spark: SparkSession, sf_dir: str, objective: str, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    """Scores of every place of every window, and the events."""
     t = _model_rows(spark, sf_dir)
-    each = windows.to_windows(t, t.count(), 128, 128)  # each event once
+    each = windows.to_windows(t, t.count())
     columns = list(dict.fromkeys([*schema.model_columns("flat"), *seqnet.FIELDS, *seqnet.FLAGS]))
     w = seqnet.random_weights(objective, d_model=16, d_state=4, layers=2, feature_set="flat")
-    return seqnet.score_windows(seqnet.window_rows(each, columns), w, objective, "flat", mode, chunk=64)
+    return seqnet.score_windows(seqnet.window_rows(each, columns), w, objective, "flat", mode, chunk=64), t.select("row_idx")
+
+
+def _event_scores(scored: DataFrame, events: DataFrame) -> DataFrame:
+    at = (F.col("window_idx") * windows.STRIDE + F.col("pos")).alias("row_idx")
+    return windows.event_scores(scored.select(at, "score"), events)
 
 
 @query()
 def q_mem_fa_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _network(spark, sf_dir, "mem-fa")
+    return _event_scores(*_network(spark, sf_dir, "mem-fa"))
 
 
 @query()
 def q_mem_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _network(spark, sf_dir, "mem", "random")
+    return _event_scores(*_network(spark, sf_dir, "mem", "random"))
 
 
 @query()
 def q_nll_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seqnet.window_score(_network(spark, sf_dir, "nll"))
+    return _event_scores(*_network(spark, sf_dir, "nll"))
 
 
 # ---- files and streams
