@@ -4,7 +4,7 @@ from collections import Counter
 
 import brute
 import pytest
-from test_operators import SCHEMA, make
+from test_text_operators import SCHEMA, make
 
 import corpus_pipeline
 from spoor.llm import mixing, packing, simhash
