@@ -213,7 +213,7 @@ def test_plan_uses_every_length_once_and_few_sequences(seed):
     assert sum(t for _, t in plan) <= bound * [1.02, 1.21, 1.02, 1.35][seed] + 2  # 700 and 341 leave no room for each other
 
 
-def test_embeddings_match_brute_force(spark):
+def test_embeddings_match_brute_force(spark, monkeypatch):
     r = np.random.default_rng(0)
     rows = []
     for c in range(6):
@@ -222,8 +222,9 @@ def test_embeddings_match_brute_force(spark):
     rows += r.normal(size=(60, 16)).tolist() + [rows[0], rows[0], [0.0] * 16, None, [], [float("nan")] * 16, [1.0, None], [1e200] * 16, [2e200] * 16, [1.0, 2.0], [2.0, 4.0]]
     table = [(i, x, 1) for i, x in enumerate(rows)]
     want = brute.embedding_links([(i, x) for i, x, _ in table if x is None or not x or abs(x[0] or 0) < 1e100])
-    for cell, pivots in ((2048, 1024), (10, 1024), (7, 3)):
-        got = embeddings.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>, w int"), cell=cell, queries=32, max_pivots=pivots)
+    for limit, tree in ((None, 64 << 20), (40, 64 << 20), (9, 64 << 20), (30, 1000)):
+        monkeypatch.setattr(embeddings, "MAX_TREE", tree)
+        got = embeddings.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>, w int"), limit=limit)
         got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got.collect()}
         assert len(got) == len(rows)
         assert {i: got[i] for i in want} == want
