@@ -4,48 +4,48 @@ A text is its words and one end token. As in the base score, the events are the
 training tokens and one event for all others. The root gives the unknown the share of tokens
 met once, ``u``, and a known token ``(1 - u) * c / N``.
 
-Deeper states are contexts of one or two tokens before the next: a word that is
-not common, or such a word and a common one after it. (A common word alone follows from the
-root; a rare one behind a rare one is a state of its own.) A context with ``n`` training
-occurrences and ``t`` distinct next tokens is retained by a divergence test: predicting each of its
-occurrences from the others must gain at least ``DIVERGENCE`` (in log10) over the root, for
-which a rare next token is taken as likely as the most frequent rare one, so the test errs
-towards the root. A retained state gives ``n(next) / (n + t)`` to a token it has seen and passes
-``t / (n + t)`` of the root's probability to the others. Each position is scored by its longest retained suffix.
-
-Counts are over all documents. Words that make up at least a share ``COMMON`` of the tokens (at
-most ``1 / COMMON`` of them) are broadcast; their part is worked out where the documents lie. All
-other words are indexed per chunk of documents, with the next two tokens of each occurrence, and meet
-by word: there a word's count, its contexts and their tests come from its own postings, of which it
-has less than a share ``COMMON`` of all tokens. The results return to their chunks and are added up there.
+A state is a context ``s`` of one to ``depth`` tokens before the next, met ``n >= 2`` times in
+training, whatever its words. Its distribution is smoothed with that of the longest retained suffix of it (its parent):
+``P(x | s) = (n(s, x) + k * P(x | parent)) / (n + k)`` with ``k = n ** SMOOTH``, which sums to one over all events.
+A state is retained by a divergence test against its parent: its occurrences, each
+predicted from the others, must gain at least ``divergence`` in log10. (For the test alone
+``P(x | parent)`` is rounded to a 20th in log10.) Each position is scored by its longest retained suffix.
+
+Where things are counted. Texts are encoded once into chunks of about ``chunk`` tokens, with words numbered within the chunk. Level by
+level, a chunk asks for what its contexts need: their distinct (context, next) pairs with their training
+counts, packed per bucket of contexts. A bucket adds up the requests of all chunks, tests its states and answers with the
+counts and the states retained. Level 0 counts the words. The count of a context is the count of its last pair one
+level above, so contexts met once are never sent, and what is asked for shrinks with depth. A context of over ``hot`` occurrences is dealt to as many sub-buckets as it needs by its next tokens; their
+gains add up. Buckets follow the number of tokens, so no task grows with the corpus, and no model is broadcast.
+
+Words are told apart by 64 bits of a hash, contexts by 48 bits within a bucket, next tokens of a context by 32 bits.
 
 Defined cases: a null or empty text is the end token alone; a null id is hashed as the empty text; without training
 documents counts are zero and the unknown has probability one; repeated rows are scored one by one; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored; a text is held whole by one task.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm.common import stored
 
-COMMON = 1e-5
-DIVERGENCE = 1.5
-CHUNK = 400_000  # rare words indexed per chunk
-CHUNK_DOCS = 20_000
-_FLUSH = 400_000  # distinct words counted before they are passed on
-_BATCH = 500_000  # postings looked at together
-_POST = np.dtype([("doc", "<i4"), ("next", "<i8"), ("after", "<i8")])
+_STEPS = 20.0  # of the rounded parent's probability
+_ROWS = "chunk long, level int, bucket long, blob binary"
 Docs = Iterator[pd.DataFrame]
 
 
@@ -58,113 +58,81 @@ def is_held(doc_id: int | None, folds: int, held: int) -> bool:
     return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % folds == held
 
 
-def word_counts(docs: DataFrame, folds: int, held: int) -> DataFrame:
-    """``word, c``: training occurrences of every word of every document (zero if only held-out ones have it)."""
+@dataclass(frozen=True)
+class Settings:
+    """Of the model: depth, divergence and smoothing. Of the work, without effect on the model: chunk, bucket and hot."""
 
-    def run(batches: Docs) -> Docs:
-        seen: dict[bytes, int] = {}
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                if is_held(doc_id, folds, held):
-                    for w in tokens(text):
-                        seen.setdefault(w, 0)
-                else:
-                    for w, n in Counter(tokens(text)).items():
-                        seen[w] = seen.get(w, 0) + n
-                if len(seen) > _FLUSH:
-                    yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
-                    seen = {}
-        yield pd.DataFrame({"word": list(seen), "c": pd.Series(list(seen.values()), dtype="int64")})
-
-    return docs.mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    depth: int = 3
+    divergence: float = 1.5
+    smooth: float = 0.85
+    chunk: int = 1 << 20  # tokens encoded together
+    bucket: int = 1 << 20  # tokens of the corpus per bucket
+    hot: int = 1 << 18  # occurrences of a context per sub-bucket
 
 
-class Root:
-    """The root's probabilities; common words by their number."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed, with their sizes in front."""
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
+    sizes = np.array([len(a) for a in arrays], dtype="<i8").tobytes()
+    return sizes + zstandard.ZstdCompressor(level=1).compress(raw)
 
-    def __init__(self, n: int, v: int, once: int, common: list[tuple[bytes, int]]):
-        self.n, self.v = n, v
-        self.u = (once + 0.5) / (n + 1) if n else 1.0
-        self.number = {w: k for k, (w, _) in enumerate(common)}
-        c = np.array([c for _, c in common], dtype=float)
-        self.base, self.lp = np.log10(c + 1), self.of(c)
-        self.rare = float(np.log10(max(1.0, n * COMMON) / n)) if n else 0.0  # no rare word is likelier
-
-    def of(self, c: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.where(c > 0, np.log10((1 - self.u) * c / max(self.n, 1)), np.log10(self.u))
 
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(blob, "<i8", len(kinds)), 0, []
+    raw = zstandard.ZstdDecompressor().decompress(blob[8 * len(kinds) :])
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        width = 6 if kind == "key" else np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        at += n * width
+        if kind == "key":
+            whole = np.zeros((n, 8), np.uint8)
+            whole[:, :6] = planes
+            out.append(whole.view("<u8")[:, 0] if n else np.empty(0, "<u8"))
+        else:
+            out.append(np.ascontiguousarray(planes).view(kind)[:, 0] if n else np.empty(0, kind))
+    return out
 
-def _headers(chunk: int, rows: list[tuple]) -> pd.DataFrame:
-    ids, held, n, known, base, score = zip(*rows, strict=True)
-    null = np.array([pd.isna(i) for i in ids])
-    whole = [0 if z else int(i) for i, z in zip(ids, null, strict=True)]
-    kinds = ((whole, "<i8"), (null, "<i8"), (held, "<i8"), (n, "<i8"), (known, "<i8"), (base, "<f8"), (score, "<f8"))
-    blob = b"".join(np.asarray(x, dtype=t).tobytes() for x, t in kinds)
-    # no word holds a line feed, so this key meets no word
-    return pd.DataFrame({"word": [b"\n" + str(chunk).encode()], "chunk": [chunk], "posts": [blob]})
 
+def _key_bytes(key: np.ndarray) -> np.ndarray:
+    """The lower 48 bits of keys, as six bytes each."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
-def _code(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) >> 2 | 1
 
+def _mix(z: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def _index(root: Root, folds: int, held: int):
-    """Documents to chunks: a header with what common words add to each document, and postings of all other words.
 
-    A posting names the next token, and the one after it if the next is common: common tokens by
-    ``-1 - number``, others by a code; zero past the end."""
+def _encode(folds: int, held: int, chunk: int):
+    """Documents to chunks: what is known of each document, the hashes of the chunk's words, and its tokens by their numbers."""
 
     def run(batches: Docs) -> Docs:
         part, serial = TaskContext.get().partitionId(), 0
-        number = root.number
         rows: list[tuple] = []
-        local: dict[bytes, int] = {}  # rare words of the chunk, numbered as they come
-        codes: list[int] = []
-        found: list[tuple[np.ndarray, ...]] = []
+        found: list[np.ndarray] = []
+        size = 0
+        local: dict[bytes, int] = defaultdict(count().__next__)
 
         def flush() -> Docs:
-            nonlocal rows, local, codes, found, serial
-            chunk = (part << 24) + serial
+            nonlocal rows, found, size, local, serial
+            ids, null, out, n = (np.array(x, dtype=k) for x, k in zip(zip(*rows, strict=True), ("<i8", "u1", "u1", "<i4"), strict=True))
+            words = np.array([xxhash.xxh64_intdigest(w) for w in local], dtype="<u8")
+            blob = _pack(ids, null, out, n, words, np.concatenate(found))
+            yield pd.DataFrame({"chunk": [(part << 24) + serial], "level": [-1], "bucket": [size], "blob": [blob]})
+            rows, found, size, local = [], [], 0, defaultdict(count().__next__)
             serial += 1
-            yield _headers(chunk, rows)
-            if local:
-                word, doc, nxt, after = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(word, kind="stable")
-                posts = np.empty(len(order), dtype=_POST)
-                posts["doc"], posts["next"], posts["after"] = doc[order], nxt[order], after[order]
-                ends = (np.cumsum(np.bincount(word)) * _POST.itemsize).tolist()
-                raw, words = posts.tobytes(), list(local)
-                for s in range(0, len(words), 50_000):
-                    e = ends[s : s + 50_000]
-                    starts = [ends[s - 1] if s else 0, *e[:-1]]
-                    yield pd.DataFrame({"word": words[s : s + 50_000], "chunk": chunk, "posts": [raw[x:y] for x, y in zip(starts, e, strict=True)]})
-            rows, local, codes, found = [], {}, [], []
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 t = tokens(text)
-                out = is_held(doc_id, folds, held)
-                k = len(rows) << 1 | (not out)
-                ids = np.fromiter((number.get(w, -1) for w in t), dtype=np.int64, count=len(t))
-                rare = np.flatnonzero(ids < 0)
-                common = ids[ids >= 0]
-                if len(rare):
-                    mine = []
-                    for i in rare.tolist():
-                        w = t[i]
-                        n = local.setdefault(w, len(codes))
-                        if n == len(codes):
-                            codes.append(_code(w))
-                        mine.append(n)
-                    value = np.zeros(len(t) + 2, dtype=np.int64)
-                    value[:-2] = -1 - ids
-                    value[rare] = [codes[n] for n in mine]
-                    nxt = value[rare + 1]
-                    after = np.where(nxt < 0, value[rare + 2], 0)
-                    found.append((np.array(mine), np.full(len(rare), k, dtype=np.int32), nxt, after))
-                rows.append((doc_id, out, len(t), len(common), root.base[common].sum(), root.lp[common].sum()))
-                if len(local) >= CHUNK or len(rows) >= CHUNK_DOCS:
+                null = pd.isna(doc_id)
+                found.append(np.fromiter(map(local.__getitem__, t), dtype="<u4", count=len(t)))
+                rows.append((0 if null else int(doc_id), null, is_held(doc_id, folds, held), len(t)))
+                size += len(t)
+                if size >= chunk:
                     yield from flush()
         if rows:
             yield from flush()
@@ -172,187 +140,228 @@ def _index(root: Root, folds: int, held: int):
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers the distinct (a, b): of each row, and the a of each number."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    of = np.empty(len(a), dtype=np.int64)
-    of[order] = np.cumsum(new) - 1
-    return of, x[new], y[new]
-
-
-def context_scores(context: np.ndarray, nxt: np.ndarray, train: np.ndarray, root: Root) -> tuple[np.ndarray, np.ndarray]:
-    """For occurrences of contexts (numbered from 0): what to add to the root's log10 probability of the
-    next token, and whether that probability is replaced (its negative is to be added too)."""
-    if not len(context):
-        return np.zeros(0), np.zeros(0, dtype=bool)
-    k = int(context.max()) + 1
-    pair, of, token = _pairs(context, nxt)
-    n_pair = np.bincount(pair, weights=train, minlength=len(of))
-    n = np.bincount(of, weights=n_pair, minlength=k)
-    t = np.bincount(of, weights=n_pair > 0, minlength=k)
-    p0 = np.full(len(of), root.rare)
-    p0[token < 0] = root.lp[-1 - token[token < 0]] if len(root.lp) else root.rare
+class _Asked:
+    """What a chunk asks for at one level: entries (a context, or a sub-bucket of a hot one) and pairs, in the order of their buckets."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, ctx_at: np.ndarray, pair_at: np.ndarray, token: np.ndarray, word: np.ndarray, train: np.ndarray, lp: np.ndarray, buckets: int, model: Settings):
+        self.ctx_at, self.pair_at, self.model = ctx_at, pair_at, model
+        uk, first, self.of = np.unique(key[ctx_at], return_index=True, return_inverse=True)
+        self.n = n[ctx_at[first]]
+        parts = -(-self.n // model.hot)
+        self.start = np.cumsum(parts) - parts
+        ctx = np.repeat(np.arange(len(uk)), parts)
+        sub = np.arange(len(ctx)) - self.start[ctx]
+        place = np.searchsorted(ctx_at, pair_at)  # a position that asks for a pair asks for its context
+        code, at, self.pair_of, times = np.unique(self.of[place].astype(np.int64) * len(word) + token[pair_at], return_index=True, return_inverse=True, return_counts=True)
+        pair_ctx, x = code // max(len(word), 1), word[code % max(len(word), 1)] >> np.uint64(32)
+        entry = self.start[pair_ctx] + (x % parts[pair_ctx].astype(np.uint64)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            full = _mix(uk[ctx] + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        bucket = ((full >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64) if buckets <= 1 << 12 else (_mix(full) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(ctx), np.int64)
+        rank[self.order] = np.arange(len(ctx))
+        self.pair_order = np.argsort(rank[entry], kind="stable")
+        self.ctx, self.sorted_bucket = ctx, bucket[self.order]
+        self.full, self.x, self.entry_rank = full[self.order], x[self.pair_order], rank[entry][self.pair_order]
+        self.count = np.bincount(self.pair_of, weights=train[pair_at], minlength=len(code)).astype("<u4")[self.pair_order]
+        self.q = np.minimum(255, np.rint(-_STEPS * lp[pair_at[at]])).astype(np.uint8)[self.pair_order]
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        n = self.n[self.ctx][self.order]
+        per = np.bincount(self.entry_rank, minlength=len(n))
+        ends = np.cumsum(per)
+        cuts = np.flatnonzero(np.diff(self.sorted_bucket, prepend=-1))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):
+            lo, hi = int(ends[s] - per[s]), int(ends[e - 1])
+            pairs = (self.x[lo:hi].astype("<u4"), self.q[lo:hi], self.count[lo:hi])
+            yield int(self.sorted_bucket[s]), _pack(_key_bytes(self.full[s:e]), n[s:e].astype("<u4"), per[s:e].astype("<u4"), *pairs)
+
+    def answered(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the positions that asked: whether their state is retained, and the counts of their pairs."""
+        got = [_unpack(b, "u1", "<f8", "<u4") for b in blobs]
+        join = lambda k, kind: np.concatenate([g[k] for g in got]) if got else np.empty(0, kind)
+        flag, gain, counts = join(0, "u1"), join(1, "<f8"), join(2, "<u4")
+        hot = (self.n > self.model.hot)[self.ctx][self.order]
+        total = np.zeros(len(self.n))
+        np.add.at(total, self.ctx[self.order][hot], gain)
+        kept = np.zeros(len(self.n), bool)
+        kept[self.ctx[self.order][~hot]] = flag[~hot] > 0
+        large = self.n > self.model.hot
+        kept[large] = self.n[large] * singles(self.n[large], self.model) + total[large] >= self.model.divergence
+        of_pair = np.empty(len(self.pair_order), np.int64)
+        of_pair[self.pair_order] = counts
+        return kept[self.of], of_pair[self.pair_of]
+
+
+def singles(n: np.ndarray, model: Settings) -> np.ndarray:
+    """What an occurrence gains whose next token its state has not seen otherwise."""
+    k = np.power(n - 1.0, model.smooth)
+    return np.log10(k / (n - 1.0 + k))
+
+
+def gains(n: np.ndarray, n_pair: np.ndarray, lp: np.ndarray, model: Settings) -> np.ndarray:
+    """What a pair's occurrences gain over the parent, less what they would as singles."""
+    k = np.power(n - 1.0, model.smooth)
     with np.errstate(divide="ignore", invalid="ignore"):
-        again = np.log10((n_pair - 1) / (n[of] - 1 + t[of])) - p0  # predicted from the other occurrences
-        alone = np.log10((t[of] - 1) / (n[of] - 1 + t[of] - 1))
-        gain = np.where(n_pair > 1, n_pair * again, np.where((n_pair == 1) & (t[of] > 1), alone, 0.0))
-        kept = np.bincount(of, weights=gain, minlength=k) >= DIVERGENCE
-        seen = np.log10(n_pair / (n + t)[of])
-        unseen = np.log10(t / (n + t))
-    known = n_pair[pair] > 0
-    return np.where(kept[context], np.where(known, seen[pair], unseen[context]), 0.0), kept[context] & known
-
-
-_WORD = np.dtype([("code", "<i8"), ("c", "<i4"), ("times", "<i4")])
-_DELTA = np.dtype([("at", "<i4"), ("delta", "<f8"), ("less", "<i8")])
-
-
-def _packed(words: np.ndarray, docs: np.ndarray, deltas: np.ndarray) -> bytes:
-    sizes = np.array([len(words), len(docs), len(deltas)], dtype="<i4")
-    return b"".join((sizes.tobytes(), words.tobytes(), docs.astype("<i4").tobytes(), deltas.tobytes()))
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.frombuffer(blob, dtype="<i4", count=3)
-    at = 12 + n[0] * _WORD.itemsize
-    words, docs = np.frombuffer(blob, _WORD, n[0], 12), np.frombuffer(blob, "<i4", n[1], at)
-    return words, docs, np.frombuffer(blob, _DELTA, n[2], at + 4 * n[1])
-
-
-def _meet(root: Root):
-    """Rows sorted by word to rows by chunk: for the words met, their counts, their documents and what contexts change.
-
-    A chunk's part of a batch of words travels as one packed row."""
-
-    def work(words: list[bytes], chunks: list[int], blobs: list[bytes]) -> pd.DataFrame:
-        tops = [k for k, w in enumerate(words) if w[:1] == b"\n"]
-        top = set(tops)
-        rows = [k for k in range(len(words)) if k not in top] if tops else range(len(words))
-        out_chunk, out_kind, out_blob = [chunks[k] for k in tops], [0] * len(tops), [blobs[k] for k in tops]
-        if len(rows):
-            posts = np.frombuffer(b"".join(blobs[k] for k in rows), dtype=_POST)
-            sizes = np.array([len(blobs[k]) // _POST.itemsize for k in rows])
-            names = [words[k] for k in rows]
-            word_of_row = np.cumsum([False, *(x != y for x, y in zip(names[1:], names[:-1], strict=True))])
-            word = np.repeat(word_of_row, sizes)
-            train = (posts["doc"] & 1).astype(float)
-            c = np.bincount(word, weights=train, minlength=int(word_of_row[-1]) + 1).astype(np.int32)
-            delta, less = np.zeros(len(posts)), np.zeros(len(posts), dtype=np.int64)
-
-            def add(at: np.ndarray, context: np.ndarray, token: np.ndarray) -> None:
-                d, replaced = context_scores(context, token, train[at], root)
-                common = replaced & (token < 0)
-                if common.any():
-                    d[common] -= root.lp[-1 - token[common]]
-                delta[at] += d
-                rare = replaced & (token > 0)
-                less[at[rare]] = token[rare]  # a posting changes one rare token at most
-
-            one = np.flatnonzero(posts["next"] != 0)
-            add(one, word[one], posts["next"][one])
-            two = np.flatnonzero((posts["next"] < 0) & (posts["after"] != 0))
-            add(two, _pairs(word[two], posts["next"][two])[0], posts["after"][two])
-            # by chunk: rows, then their postings
-            chunk = np.array([chunks[k] for k in rows], dtype=np.int64)
-            order = np.argsort(chunk, kind="stable")
-            first = np.cumsum(sizes) - sizes
-            per = sizes[order]
-            picked = np.repeat(first[order] - (np.cumsum(per) - per), per) + np.arange(len(posts))
-            heads = np.empty(len(order), dtype=_WORD)
-            once = {w: _code(w) for w in dict.fromkeys(names)}
-            heads["code"] = np.array([once[w] for w in names], dtype=np.int64)[order]
-            heads["c"], heads["times"] = c[word_of_row[order]], per
-            docs, d, m = posts["doc"][picked] >> 1, delta[picked], less[picked]
-            cuts = np.flatnonzero(np.diff(chunk[order])) + 1
-            r0, r1 = [0, *cuts.tolist()], [*cuts.tolist(), len(order)]
-            ends = np.concatenate([[0], np.cumsum(per)])
-            for x, y in zip(r0, r1, strict=True):
-                lo, hi = int(ends[x]), int(ends[y])
-                at = np.flatnonzero((d[lo:hi] != 0) | (m[lo:hi] != 0))
-                changed = np.empty(len(at), dtype=_DELTA)
-                changed["at"], changed["delta"], changed["less"] = at, d[lo:hi][at], m[lo:hi][at]
-                out_chunk.append(int(chunk[order[x]]))
-                out_kind.append(1)
-                out_blob.append(_packed(heads[x:y], docs[lo:hi], changed))
-        return pd.DataFrame({"chunk": out_chunk, "kind": out_kind, "posts": out_blob})
+        again = np.log10((n_pair - 1 + k * 10.0**lp) / (n - 1.0 + k)) - lp
+    return np.where(n_pair > 1, n_pair * (again - singles(n, model)), 0.0)
+
+
+def _count_states(pdf: pd.DataFrame, model: Settings) -> pd.DataFrame:
+    """One bucket: adds up the pairs asked for, tests the states, and answers each chunk."""
+    got = [_unpack(b, "key", "<u4", "<u4", "<u4", "u1", "<u4") for b in pdf["blob"]]
+    key, n, per, x, q, times = (np.concatenate(z) for z in zip(*got, strict=True))
+    _, first, entry = np.unique(key, return_index=True, return_inverse=True)
+    code, at, pair = np.unique(np.repeat(entry.astype(np.uint64), per) << np.uint64(32) | x, return_index=True, return_inverse=True)
+    total = np.bincount(pair, weights=times, minlength=len(code))
+    of, size = (code >> np.uint64(32)).astype(np.int64), n[first].astype(np.float64)
+    gain = np.bincount(of, weights=gains(size[of], total, q[at] / -_STEPS, model), minlength=len(first))
+    flag = ((size * singles(size, model) + gain >= model.divergence) & (size <= model.hot)).astype(np.uint8)[entry]
+    hot, gain, counts = n > model.hot, gain[entry], total[pair].astype("<u4")
+    out, e0, p0 = [], 0, 0
+    for g in got:
+        e1, p1 = e0 + len(g[0]), p0 + len(g[3])
+        out.append(_pack(flag[e0:e1], gain[e0:e1][hot[e0:e1]], counts[p0:p1]))
+        e0, p0 = e1, p1
+    return pd.DataFrame({"chunk": pdf["chunk"], "level": pdf["level"], "bucket": pdf["bucket"], "blob": out})
+
+
+def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of words: their training counts for each chunk that has them, and the sums of N, V and words met once."""
+    got = [_unpack(b, "<u8", "<u4") for b in pdf["blob"]]
+    word, times = (np.concatenate(z) for z in zip(*got, strict=True))
+    distinct, at = np.unique(word, return_inverse=True)
+    c = np.bincount(at, weights=times, minlength=len(distinct))
+    counts, ends = c[at].astype("<u4"), np.cumsum([len(g[0]) for g in got])
+    out = [_pack(counts[e - len(g[0]) : e]) for g, e in zip(got, ends.tolist(), strict=True)]
+    sums = np.array([c.sum(), (c > 0).sum(), (c == 1).sum()], dtype="<i8").tobytes()
+    answers = pd.DataFrame({"chunk": pdf["chunk"], "level": 0, "bucket": pdf["bucket"], "blob": out})
+    return pd.concat([answers, pd.DataFrame({"chunk": [-1], "level": [0], "bucket": pdf["bucket"].iloc[:1].to_numpy(), "blob": [sums]})])
+
+
+class _Root:
+    def __init__(self, n: int, v: int, once: int):
+        self.n, self.v = n, v
+        self.u = (once + 0.5) / (n + 1) if n else 1.0
 
-    def run(batches: Docs) -> Docs:
-        words: list[bytes] = []
-        chunks: list[int] = []
-        blobs: list[bytes] = []
-        size = 0
-        for b in batches:
-            for w, chunk, blob in zip(b["word"], b["chunk"], b["posts"], strict=True):
-                if size >= _BATCH and w != words[-1]:
-                    yield work(words, chunks, blobs)
-                    words, chunks, blobs, size = [], [], [], 0
-                words.append(w)
-                chunks.append(chunk)
-                blobs.append(blob)
-                size += len(blob) // _POST.itemsize
-        if words:
-            yield work(words, chunks, blobs)
+    def of(self, c: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(c > 0, np.log10((1 - self.u) * c / max(self.n, 1)), np.log10(self.u))
 
-    return run
 
+class _Walk:
+    """A chunk on its way down the tree: its encoded texts, and the answers it has got so far."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values(["level", "bucket"])
+        blob = pdf["blob"][pdf["level"] == -1].iloc[0]
+        self.ids, self.null, self.out, self.size, self.word, self.token = _unpack(blob, "<i8", "u1", "u1", "<i4", "<u8", "<u4")
+        self.answers = {int(k): g["blob"].tolist() for k, g in pdf[pdf["level"] >= 0].groupby("level")}
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.token)) - (np.cumsum(self.size) - self.size)[self.doc]
+        self.train = self.out[self.doc] == 0
+
+    def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (self.word % np.uint64(buckets)).astype(np.int64)
+        return bucket, np.argsort(bucket, kind="stable")
+
+    def ask_words(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        bucket, order = self.words(buckets)
+        times = np.bincount(self.token, weights=self.train, minlength=len(self.word)).astype("<u4")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            yield int(bucket[order[s]]), _pack(self.word[order[s:e]], times[order[s:e]])
+
+    def counts(self, buckets: int) -> np.ndarray:
+        c = np.empty(len(self.word), np.int64)
+        c[self.words(buckets)[1]] = np.concatenate([_unpack(b, "<u4")[0] for b in self.answers[0]])
+        return c[self.token]
+
+    def descend(self, root: _Root, buckets: int, depth: int, model: Settings) -> tuple[_Asked | None, np.ndarray, np.ndarray]:
+        """Down to level ``depth``: what it asks for there if that is not answered yet; the log10 probability of each token, and its count."""
+        c = self.counts(buckets)
+        lp, pair, h = root.of(c.astype(np.float64)), c, self.word[self.token]
+        before = np.concatenate([np.zeros(1, np.int64), c[:-1]])
+        key = np.zeros(len(h), np.uint64)
+        for d in range(1, depth + 1):
+            with np.errstate(over="ignore"):
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([np.zeros(min(d, len(h)), np.uint64), h[:-d]]))
+            n = np.where(self.place >= d, before, 0)
+            state = n >= 2
+            # two occurrences, one with a pair met once one level above, are never retained
+            wide = state & (~self.train | (pair >= 2) | (n > 2))
+            ask = wide & (pair >= 1)
+            asked = _Asked(key, n, np.flatnonzero(wide), np.flatnonzero(ask), self.token, self.word, self.train, lp, buckets, model)
+            if d not in self.answers and (d == depth and len(asked.ctx_at)):
+                return asked, lp, c
+            kept, counts = asked.answered(self.answers.get(d, []))
+            pair = np.minimum(pair, n)
+            pair[asked.pair_at] = counts
+            at = asked.ctx_at[kept]
+            k = np.power(n[at].astype(np.float64), model.smooth)
+            lp = lp.copy()
+            lp[at] = np.log10((pair[at] + k * 10.0 ** lp[at]) / (n[at] + k))
+            before = np.concatenate([np.zeros(1, np.int64), pair[:-1]])
+        return None, lp, c
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored: it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Settings(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+    spark = docs.sparkSession
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    chunks = stored(given.mapInPandas(_encode(folds, held, model.chunk), _ROWS))
+    size = chunks.agg(F.coalesce(F.sum("bucket"), F.lit(0))).head()[0]
+    buckets = max(1, -(-size // model.bucket))
 
-def _add_up(root: Root):
-    """One chunk: the header's sums plus those of its postings."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = pdf["posts"][pdf["kind"] == 0].iloc[0]
-        k = len(blob) // 56
-        ids, null, held, n, known, base, score = (np.frombuffer(blob, dtype="<f8" if i > 4 else "<i8", count=k, offset=8 * k * i) for i in range(7))
-        known, base, score = known.astype(float), base.copy(), score.copy()
-        parts = [_unpacked(x) for x in pdf["posts"][pdf["kind"] == 1]]
-        if parts:
-            words = np.concatenate([p[0] for p in parts])
-            order = np.argsort(words["code"])
-            code, lp_of = words["code"][order], root.of(words["c"].astype(float))[order]
-            for w, docs, changed in parts:
-                c = np.repeat(w["c"].astype(float), w["times"])
-                added = root.of(c)
-                extra = changed["delta"].copy()
-                minus = changed["less"] > 0
-                extra[minus] -= lp_of[np.searchsorted(code, changed["less"][minus])]
-                added[changed["at"]] += extra
-                known += np.bincount(docs, weights=c > 0, minlength=k)
-                base += np.bincount(docs, weights=np.log10(c + 1.0), minlength=k)
-                score += np.bincount(docs, weights=added, minlength=k)
-        out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n})
-        out.loc[null.astype(bool), "doc_id"] = pd.NA
-        return out.assign(n_known=known.astype(np.int64), base=base, score=score)
+    def ask_words(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["chunk"].iloc[0], 0, b, blob) for b, blob in _Walk(pdf).ask_words(buckets)], columns=["chunk", "level", "bucket", "blob"])
 
-    return run
+    def answer(rows: DataFrame, ask, work) -> DataFrame:
+        got = stored(rows.groupBy("chunk").applyInPandas(ask, _ROWS).groupBy("bucket").applyInPandas(work, _ROWS))
+        release(spark)
+        return got
 
+    words = answer(chunks, ask_words, _count_words)
+    sums = words.where("chunk < 0").select("blob")
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    spark = docs.sparkSession
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    words = stored(word_counts(given, folds, held))
-    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
-    n, v, once = (int(x) for x in words.agg(count(F.col("c")), count(F.col("c") > 0), count(F.col("c") == 1)).head())
-    frequent = words.where(F.col("c") >= max(1.0, n * COMMON)).orderBy("word").collect()  # at most 1 / COMMON rows
-    root = Root(n, v, once, [(bytes(r["word"]), r["c"]) for r in frequent])
-    shared = spark.sparkContext.broadcast(root)
+    def added(batches: Docs) -> Docs:
+        total = np.zeros(3, np.int64)
+        for b in batches:
+            for blob in b["blob"]:
+                total += np.frombuffer(blob, "<i8")
+        yield pd.DataFrame([total.tolist()], columns=["n", "v", "once"])
 
-    def indexed(batches: Docs) -> Docs:
-        yield from _index(shared.value, folds, held)(batches)
+    n, v, once = (int(x or 0) for x in sums.mapInPandas(added, "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once")).head())
+    root, known = _Root(n, v, once), chunks.union(words.where("chunk >= 0"))
 
-    def meet(batches: Docs) -> Docs:
-        yield from _meet(shared.value)(batches)
+    def ask_states(d: int):
+        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            asked = _Walk(pdf).descend(root, buckets, d, model)[0]
+            return pd.DataFrame([(pdf["chunk"].iloc[0], d, b, blob) for b, blob in asked.blocks()] if asked else [], columns=["chunk", "level", "bucket", "blob"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts = given.mapInPandas(indexed, "word binary, chunk long, posts binary").repartition(parts, "word").sortWithinPartitions("word")
-    met = posts.mapInPandas(meet, "chunk long, kind int, posts binary")
+        return ask
 
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _add_up(shared.value)(pdf)
+    def count_states(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _count_states(pdf, model)
+
+    for d in range(1, model.depth + 1):
+        known = known.union(answer(known, ask_states(d), count_states))
 
-    found = met.groupBy("chunk").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        walk = _Walk(pdf)
+        _, lp, c = walk.descend(root, buckets, model.depth, model)
+        per_doc = lambda x: np.bincount(walk.doc, weights=x, minlength=len(walk.size))
+        ids = pd.array(walk.ids, dtype="Int64")
+        ids[walk.null > 0] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "held_out": walk.out > 0, "n_tokens": walk.size.astype(np.int64), "n_known": per_doc(c > 0).astype(np.int64), "base": per_doc(np.log10(c + 1.0)), "score": per_doc(lp)})
+
+    found = known.groupBy("chunk").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -125,55 +125,46 @@ def dedup_lines(rows, min_lines, min_words):
     return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), sorted(gone[i])) for i, t in rows}
 
 
-def suffix_tree(rows, share, threshold, folds=7, held=2):
-    """rows: (doc_id, text). doc_id -> log10 probability by the contexts of suffix_tree.py, one position at a time."""
+def suffix_tree(rows, depth, threshold, power, folds=7, held=2):
+    """rows: (doc_id, text). doc_id -> log10 probability by the states of suffix_tree.py, one position at a time."""
     import math
     import zlib
     from collections import defaultdict
+    from functools import cache
 
     out = {i: zlib.crc32(str(i).encode()) % folds == held for i, _ in rows}
     toks = {i: [*words(lower_ascii(t)), ""] for i, t in rows}
-    c = Counter(w for i in toks if not out[i] for w in toks[i])
-    n = sum(c.values())
-    u = (sum(k == 1 for k in c.values()) + 0.5) / (n + 1)
-    common = {w for w, k in c.items() if k >= max(1.0, n * share)}
-    p0 = lambda w: math.log10((1 - u) * c[w] / n) if c[w] else math.log10(u)
-    rare = math.log10(max(1.0, n * share) / n)
-
-    def context(t, j):
-        if j >= 1 and t[j - 1] not in common:
-            return (t[j - 1],)
-        if j >= 2 and t[j - 2] not in common:
-            return (t[j - 2], t[j - 1])
-        return None
-
     after = defaultdict(Counter)
     for i, t in toks.items():
         if not out[i]:
-            for j in range(len(t)):
-                if x := context(t, j):
-                    after[x][t[j]] += 1
-
-    def kept(x):
-        counts = after[x]
-        m, t, gain = sum(counts.values()), len(counts), 0.0
-        for w, k in counts.items():
-            if k > 1:
-                gain += k * (math.log10((k - 1) / (m - 1 + t)) - (p0(w) if w in common else rare))
-            elif t > 1:
-                gain += math.log10((t - 1) / (m - 1 + t - 1))
+            for j, w in enumerate(t):
+                for d in range(min(j, depth) + 1):
+                    after[tuple(t[j - d : j])][w] += 1
+    c = after[()]
+    n = sum(c.values())
+    u = (sum(k == 1 for k in c.values()) + 0.5) / (n + 1)
+    total = {s: sum(x.values()) for s, x in after.items()}
+
+    @cache
+    def retained(s):
+        m = total.get(s, 0)
+        if m < 2:
+            return False
+        k, gain = (m - 1) ** power, 0.0
+        for w, times in after[s].items():
+            p = 10 ** -(min(255, round(-20 * logp(w, s[1:]))) / 20)
+            gain += times * math.log10(((times - 1 + k * p) / (m - 1 + k)) / p)
         return gain >= threshold
 
-    keep = {x for x in list(after) if kept(x)}
-    got = {}
-    for i, t in toks.items():
-        total = 0.0
-        for j, w in enumerate(t):
-            x = context(t, j)
-            if x in keep:
-                m, k = sum(after[x].values()), len(after[x])
-                total += math.log10(after[x][w] / (m + k)) if after[x][w] else math.log10(k / (m + k)) + p0(w)
-            else:
-                total += p0(w)
-        got[i] = total
-    return got
+    @cache
+    def logp(w, s):
+        if not s:
+            return math.log10((1 - u) * c[w] / n) if c[w] else math.log10(u)
+        shorter = logp(w, s[1:])
+        if not retained(s):
+            return shorter
+        k = total[s] ** power
+        return math.log10((after[s][w] + k * 10**shorter) / (total[s] + k))
+
+    got = {i: sum(logp(w, tuple(t[max(0, j - depth) : j])) for j, w in enumerate(t)) for i, t in toks.items()}
+    return got, sum(retained(s) for s in after if s), lambda s: (sum(10 ** logp(w, s) for w in c) + 10 ** logp("\n", s))

@@ -278,20 +278,24 @@ def test_html(spark):
     assert htmltext.extract(d.limit(0)).count() == 0
 
 
-def test_lm_counts_and_contexts_match_brute_force(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "COMMON", 3e-3)
-    monkeypatch.setattr(suffix_tree, "CHUNK", 60)
-    monkeypatch.setattr(suffix_tree, "_BATCH", 200)
+@pytest.mark.parametrize("model", [suffix_tree.Settings(), suffix_tree.Settings(chunk=300, bucket=500, hot=5)])
+def test_lm_counts_and_states_match_brute_force(spark, docs, empty, model):
+    """The second run has many chunks and buckets, and hot contexts in sub-buckets; the model is the same."""
     rows = list(dict(pairs(docs)).items())
-    base, full = brute.unigram(rows), brute.suffix_tree(rows, 3e-3, suffix_tree.DIVERGENCE)
-    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
+    base = brute.unigram(rows)
+    full, retained, mass = brute.suffix_tree(rows, model.depth, model.divergence, model.smooth)
+    given = spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, chunk int, blob string")
+    got = suffix_tree.score(given, model=model).collect()
+    assert len(got) == len(rows) and retained > 100
     for r in got:
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == base[r["doc_id"]][:4]
         assert math.isclose(r["base_score"], base[r["doc_id"]][4], rel_tol=1e-9)
         assert math.isclose(r["score"], full[r["doc_id"]], rel_tol=1e-9, abs_tol=1e-9)
+    some = brute.words(brute.lower_ascii(rows[3][1]))
+    assert all(math.isclose(mass(tuple(some[k : k + d])), 1.0, rel_tol=1e-9) for k in range(20) for d in range(4))
     assert suffix_tree.score(empty).count() == 0
-    assert suffix_tree.score(spark.createDataFrame([(None, None), (None, "a b")], "doc_id long, text string")).count() == 2
+    again = spark.createDataFrame([(None, None), (None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
+    assert suffix_tree.score(again).count() == 4
 
 
 def test_every_query_is_registered_in_order():
