@@ -18,7 +18,7 @@ counts and the states retained. Level 0 counts the words. The count of a context
 level above, so contexts met once are never sent, and what is asked for shrinks with depth. A context of over ``hot`` occurrences is dealt to as many sub-buckets as it needs by its next tokens; their
 gains add up. Buckets follow the number of tokens, so no task grows with the corpus, and no model is broadcast.
 
-Words are told apart by 64 bits of a hash, contexts by 48 bits within a bucket, next tokens of a context by 32 bits.
+Words are told apart by 64 bits of a hash, contexts by 40 bits within a bucket, next tokens of a context by 32 bits.
 
 Defined cases: a null or empty text is the end token alone; a null id is hashed as the empty text; without training
 documents counts are zero and the unknown has probability one; repeated rows are scored one by one; an empty table gives no
@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from spoor.llm.common import stored
 
 _STEPS = 20.0  # of the rounded parent's probability
+_KEY = 5
 _ROWS = "chunk long, level int, bucket long, blob binary"
 Docs = Iterator[pd.DataFrame]
 
@@ -65,7 +66,7 @@ class Settings:
     depth: int = 3
     divergence: float = 1.5
     smooth: float = 0.85
-    chunk: int = 1 << 20  # tokens encoded together
+    chunk: int = 1 << 21  # tokens encoded together
     bucket: int = 1 << 20  # tokens of the corpus per bucket
     hot: int = 1 << 18  # occurrences of a context per sub-bucket
 
@@ -81,12 +82,12 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     sizes, at, out = np.frombuffer(blob, "<i8", len(kinds)), 0, []
     raw = zstandard.ZstdDecompressor().decompress(blob[8 * len(kinds) :])
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        width = 6 if kind == "key" else np.dtype(kind).itemsize
+        width = _KEY if kind == "key" else np.dtype(kind).itemsize
         planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
         at += n * width
         if kind == "key":
             whole = np.zeros((n, 8), np.uint8)
-            whole[:, :6] = planes
+            whole[:, :_KEY] = planes
             out.append(whole.view("<u8")[:, 0] if n else np.empty(0, "<u8"))
         else:
             out.append(np.ascontiguousarray(planes).view(kind)[:, 0] if n else np.empty(0, kind))
@@ -94,8 +95,8 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _key_bytes(key: np.ndarray) -> np.ndarray:
-    """The lower 48 bits of keys, as six bytes each."""
-    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    """The lower 40 bits of keys, as five bytes each."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY])
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -119,8 +120,11 @@ def _encode(folds: int, held: int, chunk: int):
         def flush() -> Docs:
             nonlocal rows, found, size, local, serial
             ids, null, out, n = (np.array(x, dtype=k) for x, k in zip(zip(*rows, strict=True), ("<i8", "u1", "u1", "<i4"), strict=True))
-            words = np.array([xxhash.xxh64_intdigest(w) for w in local], dtype="<u8")
-            blob = _pack(ids, null, out, n, words, np.concatenate(found))
+            words, token = np.array([xxhash.xxh64_intdigest(w) for w in local], dtype="<u8"), np.concatenate(found)
+            often = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")  # small numbers for frequent words pack well
+            rank = np.empty(len(words), "<u4")
+            rank[often] = np.arange(len(words))
+            blob = _pack(ids, null, out, n, words[often], rank[token])
             yield pd.DataFrame({"chunk": [(part << 24) + serial], "level": [-1], "bucket": [size], "blob": [blob]})
             rows, found, size, local = [], [], 0, defaultdict(count().__next__)
             serial += 1
@@ -140,45 +144,79 @@ def _encode(folds: int, held: int, chunk: int):
     return run
 
 
-class _Asked:
-    """What a chunk asks for at one level: entries (a context, or a sub-bucket of a hot one) and pairs, in the order of their buckets."""
+def _groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes in order, a row of each, and the number of each row's code."""
+    order = np.argsort(code)
+    s = code[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    of = np.empty(len(s), np.int64)
+    of[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return s[at], order[at], of
+
+
+class _Level:
+    """Where a chunk stands between two levels: of each position the number of its last pair (-1: not asked for), and that pair's count; of each pair its hash and count."""
+
+    def __init__(self, pair: np.ndarray, times: np.ndarray, key: np.ndarray, count: np.ndarray):
+        self.pair, self.times, self.key, self.count = pair, times, key, count
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, ctx_at: np.ndarray, pair_at: np.ndarray, token: np.ndarray, word: np.ndarray, train: np.ndarray, lp: np.ndarray, buckets: int, model: Settings):
-        self.ctx_at, self.pair_at, self.model = ctx_at, pair_at, model
-        uk, first, self.of = np.unique(key[ctx_at], return_index=True, return_inverse=True)
-        self.n = n[ctx_at[first]]
+
+class _Asked:
+    """What a chunk asks for at one level: entries (a context, or a sub-bucket of a hot one) and pairs, in the order of their buckets.
+
+    The context of a position is the last pair of the position before."""
+
+    def __init__(self, walk: _Walk, before: _Level, d: int, lp: np.ndarray, buckets: int, model: Settings):
+        self.model = model
+        ctx = np.concatenate([[-1], before.pair[:-1]])
+        self.n_at = np.where((walk.place >= d) & (ctx >= 0), before.count[ctx] if len(before.count) else 0, 0)
+        # two occurrences, one with a pair met once one level above, are never retained
+        wide = (self.n_at >= 2) & (~walk.train | (before.times >= 2) | (self.n_at > 2))
+        self.ctx_at = np.flatnonzero(wide)
+        self.pair_at = np.flatnonzero(wide & (before.times >= 1))
+        compact = np.zeros(len(before.key), np.int64)
+        compact[ctx[self.ctx_at]] = 1
+        used = np.flatnonzero(compact)
+        compact[used] = np.arange(len(used))
+        self.of, self.n, key = compact[ctx[self.ctx_at]], before.count[used], before.key[used]
         parts = -(-self.n // model.hot)
-        self.start = np.cumsum(parts) - parts
-        ctx = np.repeat(np.arange(len(uk)), parts)
-        sub = np.arange(len(ctx)) - self.start[ctx]
-        place = np.searchsorted(ctx_at, pair_at)  # a position that asks for a pair asks for its context
-        code, at, self.pair_of, times = np.unique(self.of[place].astype(np.int64) * len(word) + token[pair_at], return_index=True, return_inverse=True, return_counts=True)
-        pair_ctx, x = code // max(len(word), 1), word[code % max(len(word), 1)] >> np.uint64(32)
-        entry = self.start[pair_ctx] + (x % parts[pair_ctx].astype(np.uint64)).astype(np.int64)
+        start = np.cumsum(parts) - parts
+        self.ctx = np.repeat(np.arange(len(used)), parts)
+        sub = np.arange(len(self.ctx)) - start[self.ctx]
+        width = max(1, len(walk.word))
+        code, at, self.pair_of = _groups(compact[ctx[self.pair_at]] * width + walk.token[self.pair_at])
+        pair_ctx, word = code // width, walk.word[code % width]
+        x = word >> np.uint64(32)
         with np.errstate(over="ignore"):
-            full = _mix(uk[ctx] + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        bucket = ((full >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64) if buckets <= 1 << 12 else (_mix(full) % np.uint64(buckets)).astype(np.int64)
+            self.pair_key = _mix(key[pair_ctx] * np.uint64(0x9E3779B97F4A7C15) + word)
+            full = _mix(key[self.ctx] + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        entry = start[pair_ctx] + (x % parts[pair_ctx].astype(np.uint64)).astype(np.int64)
+        bucket = (_mix(full) % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(ctx), np.int64)
-        rank[self.order] = np.arange(len(ctx))
-        self.pair_order = np.argsort(rank[entry], kind="stable")
-        self.ctx, self.sorted_bucket = ctx, bucket[self.order]
-        self.full, self.x, self.entry_rank = full[self.order], x[self.pair_order], rank[entry][self.pair_order]
-        self.count = np.bincount(self.pair_of, weights=train[pair_at], minlength=len(code)).astype("<u4")[self.pair_order]
-        self.q = np.minimum(255, np.rint(-_STEPS * lp[pair_at[at]])).astype(np.uint8)[self.pair_order]
+        rank = np.empty(len(self.ctx), np.int64)
+        rank[self.order] = np.arange(len(self.ctx))
+        # pairs by entry, then as they are
+        mixed = np.sort(rank[entry] << 32 | np.arange(len(code)))
+        self.pair_order = mixed & 0xFFFFFFFF
+        self.bucket, self.key = bucket[self.order], full[self.order]
+        self.x, self.entry = x[self.pair_order], mixed >> 32
+        self.count = np.bincount(self.pair_of, weights=walk.train[self.pair_at], minlength=len(code)).astype("<u4")[self.pair_order]
+        self.q = np.minimum(255, np.rint(-_STEPS * lp[self.pair_at[at]])).astype(np.uint8)[self.pair_order]
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         n = self.n[self.ctx][self.order]
-        per = np.bincount(self.entry_rank, minlength=len(n))
+        per = np.bincount(self.entry, minlength=len(n))
         ends = np.cumsum(per)
-        cuts = np.flatnonzero(np.diff(self.sorted_bucket, prepend=-1))
+        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):
             lo, hi = int(ends[s] - per[s]), int(ends[e - 1])
             pairs = (self.x[lo:hi].astype("<u4"), self.q[lo:hi], self.count[lo:hi])
-            yield int(self.sorted_bucket[s]), _pack(_key_bytes(self.full[s:e]), n[s:e].astype("<u4"), per[s:e].astype("<u4"), *pairs)
+            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<u4"), per[s:e].astype("<u4"), *pairs)
 
     def answered(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the positions that asked: whether their state is retained, and the counts of their pairs."""
+        """Whether the state of each position that asked is retained, and the count of each pair."""
         got = [_unpack(b, "u1", "<f8", "<u4") for b in blobs]
         join = lambda k, kind: np.concatenate([g[k] for g in got]) if got else np.empty(0, kind)
         flag, gain, counts = join(0, "u1"), join(1, "<f8"), join(2, "<u4")
@@ -191,7 +229,7 @@ class _Asked:
         kept[large] = self.n[large] * singles(self.n[large], self.model) + total[large] >= self.model.divergence
         of_pair = np.empty(len(self.pair_order), np.int64)
         of_pair[self.pair_order] = counts
-        return kept[self.of], of_pair[self.pair_of]
+        return kept[self.of], of_pair
 
 
 def singles(n: np.ndarray, model: Settings) -> np.ndarray:
@@ -212,8 +250,8 @@ def _count_states(pdf: pd.DataFrame, model: Settings) -> pd.DataFrame:
     """One bucket: adds up the pairs asked for, tests the states, and answers each chunk."""
     got = [_unpack(b, "key", "<u4", "<u4", "<u4", "u1", "<u4") for b in pdf["blob"]]
     key, n, per, x, q, times = (np.concatenate(z) for z in zip(*got, strict=True))
-    _, first, entry = np.unique(key, return_index=True, return_inverse=True)
-    code, at, pair = np.unique(np.repeat(entry.astype(np.uint64), per) << np.uint64(32) | x, return_index=True, return_inverse=True)
+    _, first, entry = _groups(key)
+    code, at, pair = _groups(np.repeat(entry.astype(np.uint64), per) << np.uint64(32) | x)
     total = np.bincount(pair, weights=times, minlength=len(code))
     of, size = (code >> np.uint64(32)).astype(np.int64), n[first].astype(np.float64)
     gain = np.bincount(of, weights=gains(size[of], total, q[at] / -_STEPS, model), minlength=len(first))
@@ -274,35 +312,29 @@ class _Walk:
             yield int(bucket[order[s]]), _pack(self.word[order[s:e]], times[order[s:e]])
 
     def counts(self, buckets: int) -> np.ndarray:
+        """Training counts of the chunk's words."""
         c = np.empty(len(self.word), np.int64)
         c[self.words(buckets)[1]] = np.concatenate([_unpack(b, "<u4")[0] for b in self.answers[0]])
-        return c[self.token]
+        return c
 
     def descend(self, root: _Root, buckets: int, depth: int, model: Settings) -> tuple[_Asked | None, np.ndarray, np.ndarray]:
         """Down to level ``depth``: what it asks for there if that is not answered yet; the log10 probability of each token, and its count."""
-        c = self.counts(buckets)
-        lp, pair, h = root.of(c.astype(np.float64)), c, self.word[self.token]
-        before = np.concatenate([np.zeros(1, np.int64), c[:-1]])
-        key = np.zeros(len(h), np.uint64)
+        of_word = self.counts(buckets)
+        c = of_word[self.token]
+        lp, at = root.of(of_word.astype(np.float64))[self.token], _Level(self.token.astype(np.int64), c, self.word, of_word)
         for d in range(1, depth + 1):
-            with np.errstate(over="ignore"):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([np.zeros(min(d, len(h)), np.uint64), h[:-d]]))
-            n = np.where(self.place >= d, before, 0)
-            state = n >= 2
-            # two occurrences, one with a pair met once one level above, are never retained
-            wide = state & (~self.train | (pair >= 2) | (n > 2))
-            ask = wide & (pair >= 1)
-            asked = _Asked(key, n, np.flatnonzero(wide), np.flatnonzero(ask), self.token, self.word, self.train, lp, buckets, model)
+            asked = _Asked(self, at, d, lp, buckets, model)
             if d not in self.answers and (d == depth and len(asked.ctx_at)):
                 return asked, lp, c
             kept, counts = asked.answered(self.answers.get(d, []))
-            pair = np.minimum(pair, n)
-            pair[asked.pair_at] = counts
-            at = asked.ctx_at[kept]
-            k = np.power(n[at].astype(np.float64), model.smooth)
-            lp = lp.copy()
-            lp[at] = np.log10((pair[at] + k * 10.0 ** lp[at]) / (n[at] + k))
-            before = np.concatenate([np.zeros(1, np.int64), pair[:-1]])
+            pair, times = np.full(len(c), -1), np.minimum(at.times, asked.n_at)
+            pair[asked.pair_at] = asked.pair_of
+            times[asked.pair_at] = counts[asked.pair_of]
+            some = asked.ctx_at[kept]
+            n = asked.n_at[some].astype(np.float64)
+            k = np.power(n, model.smooth)
+            lp[some] = np.log10((times[some] + k * 10.0 ** lp[some]) / (n + k))
+            at = _Level(pair, times, asked.pair_key, counts)
         return None, lp, c
 
 
@@ -320,15 +352,20 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
     size = chunks.agg(F.coalesce(F.sum("bucket"), F.lit(0))).head()[0]
     buckets = max(1, -(-size // model.bucket))
 
-    def ask_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["chunk"].iloc[0], 0, b, blob) for b, blob in _Walk(pdf).ask_words(buckets)], columns=["chunk", "level", "bucket", "blob"])
+    columns = ["chunk", "level", "bucket", "blob"]
+
+    def ask_words(batches: Docs) -> Docs:
+        for b in batches:
+            for k in range(len(b)):
+                yield pd.DataFrame([(b["chunk"].iloc[k], 0, to, blob) for to, blob in _Walk(b.iloc[k : k + 1]).ask_words(buckets)], columns=columns)
 
-    def answer(rows: DataFrame, ask, work) -> DataFrame:
-        got = stored(rows.groupBy("chunk").applyInPandas(ask, _ROWS).groupBy("bucket").applyInPandas(work, _ROWS))
+    def answer(asked: DataFrame, work) -> DataFrame:
+        got = stored(asked.groupBy("bucket").applyInPandas(work, _ROWS))
+        del asked
         release(spark)
         return got
 
-    words = answer(chunks, ask_words, _count_words)
+    words = answer(chunks.mapInPandas(ask_words, _ROWS), _count_words)
     sums = words.where("chunk < 0").select("blob")
 
     def added(batches: Docs) -> Docs:
@@ -344,7 +381,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
     def ask_states(d: int):
         def ask(pdf: pd.DataFrame) -> pd.DataFrame:
             asked = _Walk(pdf).descend(root, buckets, d, model)[0]
-            return pd.DataFrame([(pdf["chunk"].iloc[0], d, b, blob) for b, blob in asked.blocks()] if asked else [], columns=["chunk", "level", "bucket", "blob"])
+            return pd.DataFrame([(pdf["chunk"].iloc[0], d, b, blob) for b, blob in asked.blocks()] if asked else [], columns=columns)
 
         return ask
 
@@ -352,7 +389,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
         return _count_states(pdf, model)
 
     for d in range(1, model.depth + 1):
-        known = known.union(answer(known, ask_states(d), count_states))
+        known = known.union(answer(known.groupBy("chunk").applyInPandas(ask_states(d), _ROWS), count_states))
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         walk = _Walk(pdf)
