@@ -28,6 +28,7 @@ rows; other columns are ignored; a text is held whole by one task.
 from __future__ import annotations
 
 import gc
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import stored
+from spoor.llm.common import shared_folder, stored
 
 _STEPS = 20.0  # of the rounded parent's probability
 _KEY = 5
@@ -66,7 +67,7 @@ class Settings:
     depth: int = 3
     divergence: float = 1.5
     smooth: float = 0.85
-    chunk: int = 1 << 21  # tokens encoded together
+    chunk: int = 1 << 20  # tokens encoded together
     bucket: int = 1 << 20  # tokens of the corpus per bucket
     hot: int = 1 << 18  # occurrences of a context per sub-bucket
 
@@ -213,13 +214,13 @@ class _Asked:
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):
             lo, hi = int(ends[s] - per[s]), int(ends[e - 1])
             pairs = (self.x[lo:hi].astype("<u4"), self.q[lo:hi], self.count[lo:hi])
-            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<u4"), per[s:e].astype("<u4"), *pairs)
+            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<i8"), per[s:e].astype("<u4"), *pairs)
 
     def answered(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Whether the state of each position that asked is retained, and the count of each pair."""
-        got = [_unpack(b, "u1", "<f8", "<u4") for b in blobs]
+        got = [_unpack(b, "u1", "<f8", "<i8") for b in blobs]
         join = lambda k, kind: np.concatenate([g[k] for g in got]) if got else np.empty(0, kind)
-        flag, gain, counts = join(0, "u1"), join(1, "<f8"), join(2, "<u4")
+        flag, gain, counts = join(0, "u1"), join(1, "<f8"), join(2, "<i8")
         hot = (self.n > self.model.hot)[self.ctx][self.order]
         total = np.zeros(len(self.n))
         np.add.at(total, self.ctx[self.order][hot], gain)
@@ -248,7 +249,7 @@ def gains(n: np.ndarray, n_pair: np.ndarray, lp: np.ndarray, model: Settings) ->
 
 def _count_states(pdf: pd.DataFrame, model: Settings) -> pd.DataFrame:
     """One bucket: adds up the pairs asked for, tests the states, and answers each chunk."""
-    got = [_unpack(b, "key", "<u4", "<u4", "<u4", "u1", "<u4") for b in pdf["blob"]]
+    got = [_unpack(b, "key", "<i8", "<u4", "<u4", "u1", "<u4") for b in pdf["blob"]]
     key, n, per, x, q, times = (np.concatenate(z) for z in zip(*got, strict=True))
     _, first, entry = _groups(key)
     code, at, pair = _groups(np.repeat(entry.astype(np.uint64), per) << np.uint64(32) | x)
@@ -256,7 +257,7 @@ def _count_states(pdf: pd.DataFrame, model: Settings) -> pd.DataFrame:
     of, size = (code >> np.uint64(32)).astype(np.int64), n[first].astype(np.float64)
     gain = np.bincount(of, weights=gains(size[of], total, q[at] / -_STEPS, model), minlength=len(first))
     flag = ((size * singles(size, model) + gain >= model.divergence) & (size <= model.hot)).astype(np.uint8)[entry]
-    hot, gain, counts = n > model.hot, gain[entry], total[pair].astype("<u4")
+    hot, gain, counts = n > model.hot, gain[entry], total[pair].astype("<i8")
     out, e0, p0 = [], 0, 0
     for g in got:
         e1, p1 = e0 + len(g[0]), p0 + len(g[3])
@@ -271,7 +272,7 @@ def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     word, times = (np.concatenate(z) for z in zip(*got, strict=True))
     distinct, at = np.unique(word, return_inverse=True)
     c = np.bincount(at, weights=times, minlength=len(distinct))
-    counts, ends = c[at].astype("<u4"), np.cumsum([len(g[0]) for g in got])
+    counts, ends = c[at].astype("<i8"), np.cumsum([len(g[0]) for g in got])
     out = [_pack(counts[e - len(g[0]) : e]) for g, e in zip(got, ends.tolist(), strict=True)]
     sums = np.array([c.sum(), (c > 0).sum(), (c == 1).sum()], dtype="<i8").tobytes()
     answers = pd.DataFrame({"chunk": pdf["chunk"], "level": 0, "bucket": pdf["bucket"], "blob": out})
@@ -291,11 +292,10 @@ class _Root:
 class _Walk:
     """A chunk on its way down the tree: its encoded texts, and the answers it has got so far."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["level", "bucket"])
-        blob = pdf["blob"][pdf["level"] == -1].iloc[0]
+    def __init__(self, blob: bytes, answers: pd.DataFrame | None = None):
         self.ids, self.null, self.out, self.size, self.word, self.token = _unpack(blob, "<i8", "u1", "u1", "<i4", "<u8", "<u4")
-        self.answers = {int(k): g["blob"].tolist() for k, g in pdf[pdf["level"] >= 0].groupby("level")}
+        got = () if answers is None else answers.sort_values(["level", "bucket"]).groupby("level")
+        self.answers = {int(k): g["blob"].tolist() for k, g in got}
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
         self.place = np.arange(len(self.token)) - (np.cumsum(self.size) - self.size)[self.doc]
         self.train = self.out[self.doc] == 0
@@ -314,7 +314,7 @@ class _Walk:
     def counts(self, buckets: int) -> np.ndarray:
         """Training counts of the chunk's words."""
         c = np.empty(len(self.word), np.int64)
-        c[self.words(buckets)[1]] = np.concatenate([_unpack(b, "<u4")[0] for b in self.answers[0]])
+        c[self.words(buckets)[1]] = np.concatenate([_unpack(b, "<i8")[0] for b in self.answers[0]])
         return c
 
     def descend(self, root: _Root, buckets: int, depth: int, model: Settings) -> tuple[_Asked | None, np.ndarray, np.ndarray]:
@@ -344,20 +344,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def _by_chunk(df: DataFrame) -> DataFrame:
+    """``df`` stored by chunk in the shared folder, so that answers come to the chunks and chunks stay where they are."""
+    spark = df.sparkSession
+    name = f"spoor_chunks_{uuid.uuid4().hex}"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    df.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(parts, "chunk").sortBy("chunk").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Settings(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     spark = docs.sparkSession
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    chunks = stored(given.mapInPandas(_encode(folds, held, model.chunk), _ROWS))
+    chunks = _by_chunk(given.mapInPandas(_encode(folds, held, model.chunk), _ROWS))
     size = chunks.agg(F.coalesce(F.sum("bucket"), F.lit(0))).head()[0]
     buckets = max(1, -(-size // model.bucket))
-
     columns = ["chunk", "level", "bucket", "blob"]
 
     def ask_words(batches: Docs) -> Docs:
         for b in batches:
-            for k in range(len(b)):
-                yield pd.DataFrame([(b["chunk"].iloc[k], 0, to, blob) for to, blob in _Walk(b.iloc[k : k + 1]).ask_words(buckets)], columns=columns)
+            for chunk, blob in zip(b["chunk"], b["blob"], strict=True):
+                yield pd.DataFrame([(chunk, 0, to, asked) for to, asked in _Walk(blob).ask_words(buckets)], columns=columns)
 
     def answer(asked: DataFrame, work) -> DataFrame:
         got = stored(asked.groupBy("bucket").applyInPandas(work, _ROWS))
@@ -365,8 +373,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
         release(spark)
         return got
 
+    def with_chunks(answers: DataFrame, work, schema: str) -> DataFrame:
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(work, schema)
+
     words = answer(chunks.mapInPandas(ask_words, _ROWS), _count_words)
-    sums = words.where("chunk < 0").select("blob")
 
     def added(batches: Docs) -> Docs:
         total = np.zeros(3, np.int64)
@@ -375,13 +385,14 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
                 total += np.frombuffer(blob, "<i8")
         yield pd.DataFrame([total.tolist()], columns=["n", "v", "once"])
 
-    n, v, once = (int(x or 0) for x in sums.mapInPandas(added, "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once")).head())
-    root, known = _Root(n, v, once), chunks.union(words.where("chunk >= 0"))
+    sums = words.where("chunk < 0").select("blob").mapInPandas(added, "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once"))
+    n, v, once = (int(x or 0) for x in sums.head())
+    root, known = _Root(n, v, once), words.where("chunk >= 0")
 
     def ask_states(d: int):
-        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-            asked = _Walk(pdf).descend(root, buckets, d, model)[0]
-            return pd.DataFrame([(pdf["chunk"].iloc[0], d, b, blob) for b, blob in asked.blocks()] if asked else [], columns=columns)
+        def ask(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            asked = _Walk(chunk["blob"].iloc[0], answers).descend(root, buckets, d, model)[0]
+            return pd.DataFrame([(chunk["chunk"].iloc[0], d, to, blob) for to, blob in asked.blocks()] if asked else [], columns=columns)
 
         return ask
 
@@ -389,16 +400,17 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
         return _count_states(pdf, model)
 
     for d in range(1, model.depth + 1):
-        known = known.union(answer(known.groupBy("chunk").applyInPandas(ask_states(d), _ROWS), count_states))
+        known = known.union(answer(with_chunks(known, ask_states(d), _ROWS), count_states))
 
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        walk = _Walk(pdf)
+    def add_up(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        walk = _Walk(chunk["blob"].iloc[0], answers)
         _, lp, c = walk.descend(root, buckets, model.depth, model)
         per_doc = lambda x: np.bincount(walk.doc, weights=x, minlength=len(walk.size))
         ids = pd.array(walk.ids, dtype="Int64")
         ids[walk.null > 0] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": walk.out > 0, "n_tokens": walk.size.astype(np.int64), "n_known": per_doc(c > 0).astype(np.int64), "base": per_doc(np.log10(c + 1.0)), "score": per_doc(lp)})
+        known, base = per_doc(c > 0).astype(np.int64), per_doc(np.log10(c + 1.0))
+        return pd.DataFrame({"doc_id": ids, "held_out": walk.out > 0, "n_tokens": walk.size.astype(np.int64), "n_known": known, "base": base, "score": per_doc(lp)})
 
-    found = known.groupBy("chunk").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    found = with_chunks(known, add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
