@@ -51,9 +51,11 @@ _ROWS = "chunk long, level int, bucket long, blob binary"
 Docs = Iterator[pd.DataFrame]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words, then the end token (the empty word)."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+def tokens(text: bytes | None) -> list[bytes]:
+    """Lower-cased words of a text in UTF-8, then the end token (the empty word)."""
+    found = (text or b"").lower().split()
+    found.append(b"")
+    return found
 
 
 def is_held(doc_id: int | None, folds: int, held: int) -> bool:
@@ -151,8 +153,8 @@ def _groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s = code[order]
     new = np.ones(len(s), bool)
     np.not_equal(s[1:], s[:-1], out=new[1:])
-    of = np.empty(len(s), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of = np.empty(len(s), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
     at = np.flatnonzero(new)
     return s[at], order[at], of
 
@@ -169,52 +171,57 @@ class _Asked:
 
     The context of a position is the last pair of the position before."""
 
-    def __init__(self, walk: _Walk, before: _Level, d: int, lp: np.ndarray, buckets: int, model: Settings):
-        self.model = model
-        ctx = np.concatenate([[-1], before.pair[:-1]])
+    def __init__(self, walk: _Walk, before: _Level, d: int, buckets: int, model: Settings):
+        self.walk, self.model = walk, model
+        ctx = np.empty_like(before.pair)
+        ctx[:1], ctx[1:] = -1, before.pair[:-1]
         self.n_at = np.where((walk.place >= d) & (ctx >= 0), before.count[ctx] if len(before.count) else 0, 0)
         # two occurrences, one with a pair met once one level above, are never retained
         wide = (self.n_at >= 2) & (~walk.train | (before.times >= 2) | (self.n_at > 2))
         self.ctx_at = np.flatnonzero(wide)
         self.pair_at = np.flatnonzero(wide & (before.times >= 1))
-        compact = np.zeros(len(before.key), np.int64)
+        compact = np.zeros(len(before.key), np.int32)
         compact[ctx[self.ctx_at]] = 1
         used = np.flatnonzero(compact)
-        compact[used] = np.arange(len(used))
+        compact[used] = np.arange(len(used), dtype=np.int32)
         self.of, self.n, key = compact[ctx[self.ctx_at]], before.count[used], before.key[used]
-        parts = -(-self.n // model.hot)
-        start = np.cumsum(parts) - parts
-        self.ctx = np.repeat(np.arange(len(used)), parts)
-        sub = np.arange(len(self.ctx)) - start[self.ctx]
-        width = max(1, len(walk.word))
-        code, at, self.pair_of = _groups(compact[ctx[self.pair_at]] * width + walk.token[self.pair_at])
-        pair_ctx, word = code // width, walk.word[code % width]
-        x = word >> np.uint64(32)
+        bits = max(1, len(walk.word).bit_length())
+        code, self.first, self.pair_of = _groups(compact[ctx[self.pair_at]].astype(np.int64) << bits | walk.token[self.pair_at])
+        pair_ctx, self.word = code >> bits, walk.word[code & (1 << bits) - 1]
+        golden = np.uint64(0x9E3779B97F4A7C15)
         with np.errstate(over="ignore"):
-            self.pair_key = _mix(key[pair_ctx] * np.uint64(0x9E3779B97F4A7C15) + word)
-            full = _mix(key[self.ctx] + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        entry = start[pair_ctx] + (x % parts[pair_ctx].astype(np.uint64)).astype(np.int64)
-        bucket = (_mix(full) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(self.ctx), np.int64)
-        rank[self.order] = np.arange(len(self.ctx))
-        # pairs by entry, then as they are
+            self.pair_key = _mix(key[pair_ctx] * golden + self.word)
+        if len(self.n) and self.n.max() > model.hot:
+            parts = -(-self.n // model.hot)
+            start = np.cumsum(parts) - parts
+            self.ctx = np.repeat(np.arange(len(used)), parts)
+            sub = (np.arange(len(self.ctx)) - start[self.ctx]).astype(np.uint64)
+            entry = start[pair_ctx] + ((self.word >> np.uint64(32)) % parts[pair_ctx].astype(np.uint64)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                full = _mix(key[self.ctx] + sub * golden)
+        else:
+            self.ctx, entry, full = np.arange(len(used)), pair_ctx, _mix(key)
+        # entries by bucket, pairs by entry, each then as they are
+        mixed = np.sort((_mix(full) % np.uint64(buckets)).astype(np.int64) << 32 | np.arange(len(full)))
+        self.bucket, self.order = mixed >> 32, mixed & 0xFFFFFFFF
+        rank = np.empty(len(full), np.int64)
+        rank[self.order] = np.arange(len(full))
         mixed = np.sort(rank[entry] << 32 | np.arange(len(code)))
-        self.pair_order = mixed & 0xFFFFFFFF
-        self.bucket, self.key = bucket[self.order], full[self.order]
-        self.x, self.entry = x[self.pair_order], mixed >> 32
-        self.count = np.bincount(self.pair_of, weights=walk.train[self.pair_at], minlength=len(code)).astype("<u4")[self.pair_order]
-        self.q = np.minimum(255, np.rint(-_STEPS * lp[self.pair_at[at]])).astype(np.uint8)[self.pair_order]
+        self.entry, self.pair_order = mixed >> 32, mixed & 0xFFFFFFFF
+        self.key = full[self.order]
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
+    def blocks(self, p: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """The requests, given the probability of each token so far."""
         n = self.n[self.ctx][self.order]
         per = np.bincount(self.entry, minlength=len(n))
         ends = np.cumsum(per)
+        x = (self.word >> np.uint64(32))[self.pair_order].astype("<u4")
+        count = np.bincount(self.pair_of, weights=self.walk.train[self.pair_at], minlength=len(self.word))[self.pair_order].astype("<u4")
+        q = np.minimum(255, np.rint(-_STEPS * np.log10(p[self.pair_at[self.first]])))[self.pair_order].astype(np.uint8)
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):
             lo, hi = int(ends[s] - per[s]), int(ends[e - 1])
-            pairs = (self.x[lo:hi].astype("<u4"), self.q[lo:hi], self.count[lo:hi])
-            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<i8"), per[s:e].astype("<u4"), *pairs)
+            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<i8"), per[s:e].astype("<u4"), x[lo:hi], q[lo:hi], count[lo:hi])
 
     def answered(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Whether the state of each position that asked is retained, and the count of each pair."""
@@ -242,9 +249,8 @@ def singles(n: np.ndarray, model: Settings) -> np.ndarray:
 def gains(n: np.ndarray, n_pair: np.ndarray, lp: np.ndarray, model: Settings) -> np.ndarray:
     """What a pair's occurrences gain over the parent, less what they would as singles."""
     k = np.power(n - 1.0, model.smooth)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        again = np.log10((n_pair - 1 + k * 10.0**lp) / (n - 1.0 + k)) - lp
-    return np.where(n_pair > 1, n_pair * (again - singles(n, model)), 0.0)
+    times = np.maximum(n_pair, 1)  # a pair met once, or not in training, gains nothing
+    return times * (np.log10((times - 1 + k * 10.0**lp) / (n - 1.0 + k)) - lp - singles(n, model))
 
 
 def _count_states(pdf: pd.DataFrame, model: Settings) -> pd.DataFrame:
@@ -279,14 +285,17 @@ def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([answers, pd.DataFrame({"chunk": [-1], "level": [0], "bucket": pdf["bucket"].iloc[:1].to_numpy(), "blob": [sums]})])
 
 
+def _narrow(count: np.ndarray) -> np.ndarray:
+    return count.astype(np.int32) if len(count) == 0 or count.max() < 1 << 31 else count
+
+
 class _Root:
     def __init__(self, n: int, v: int, once: int):
         self.n, self.v = n, v
         self.u = (once + 0.5) / (n + 1) if n else 1.0
 
     def of(self, c: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.where(c > 0, np.log10((1 - self.u) * c / max(self.n, 1)), np.log10(self.u))
+        return np.where(c > 0, (1 - self.u) * c / max(self.n, 1), self.u)
 
 
 class _Walk:
@@ -297,8 +306,8 @@ class _Walk:
         got = () if answers is None else answers.sort_values(["level", "bucket"]).groupby("level")
         self.answers = {int(k): g["blob"].tolist() for k, g in got}
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        self.place = np.arange(len(self.token)) - (np.cumsum(self.size) - self.size)[self.doc]
-        self.train = self.out[self.doc] == 0
+        self.place = np.arange(len(self.token), dtype=np.int32) - (np.cumsum(self.size, dtype=np.int32) - self.size)[self.doc]
+        self.train = np.repeat(self.out == 0, self.size)
 
     def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         bucket = (self.word % np.uint64(buckets)).astype(np.int64)
@@ -315,27 +324,27 @@ class _Walk:
         """Training counts of the chunk's words."""
         c = np.empty(len(self.word), np.int64)
         c[self.words(buckets)[1]] = np.concatenate([_unpack(b, "<i8")[0] for b in self.answers[0]])
-        return c
+        return _narrow(c)
 
     def descend(self, root: _Root, buckets: int, depth: int, model: Settings) -> tuple[_Asked | None, np.ndarray, np.ndarray]:
-        """Down to level ``depth``: what it asks for there if that is not answered yet; the log10 probability of each token, and its count."""
+        """Down to level ``depth``: what it asks for there if that is not answered yet; the probability of each token, and its count."""
         of_word = self.counts(buckets)
         c = of_word[self.token]
-        lp, at = root.of(of_word.astype(np.float64))[self.token], _Level(self.token.astype(np.int64), c, self.word, of_word)
+        p, at = root.of(of_word.astype(np.float64))[self.token], _Level(self.token.astype(np.int32), c, self.word, of_word)
         for d in range(1, depth + 1):
-            asked = _Asked(self, at, d, lp, buckets, model)
+            asked = _Asked(self, at, d, buckets, model)
             if d not in self.answers and (d == depth and len(asked.ctx_at)):
-                return asked, lp, c
+                return asked, p, c
             kept, counts = asked.answered(self.answers.get(d, []))
-            pair, times = np.full(len(c), -1), np.minimum(at.times, asked.n_at)
+            counts = _narrow(counts)
+            pair, times = np.full(len(c), -1, np.int32), np.minimum(at.times, asked.n_at)
             pair[asked.pair_at] = asked.pair_of
             times[asked.pair_at] = counts[asked.pair_of]
             some = asked.ctx_at[kept]
-            n = asked.n_at[some].astype(np.float64)
-            k = np.power(n, model.smooth)
-            lp[some] = np.log10((times[some] + k * 10.0 ** lp[some]) / (n + k))
+            k = np.power(asked.n.astype(np.float64), model.smooth)[asked.of[kept]]
+            p[some] = (times[some] + k * p[some]) / (asked.n_at[some] + k)
             at = _Level(pair, times, asked.pair_key, counts)
-        return None, lp, c
+        return None, p, c
 
 
 def release(spark: SparkSession) -> None:
@@ -356,7 +365,7 @@ def _by_chunk(df: DataFrame) -> DataFrame:
 def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Settings(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     spark = docs.sparkSession
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     chunks = _by_chunk(given.mapInPandas(_encode(folds, held, model.chunk), _ROWS))
     size = chunks.agg(F.coalesce(F.sum("bucket"), F.lit(0))).head()[0]
     buckets = max(1, -(-size // model.bucket))
@@ -367,16 +376,16 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
             for chunk, blob in zip(b["chunk"], b["blob"], strict=True):
                 yield pd.DataFrame([(chunk, 0, to, asked) for to, asked in _Walk(blob).ask_words(buckets)], columns=columns)
 
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+
     def answer(asked: DataFrame, work) -> DataFrame:
-        got = stored(asked.groupBy("bucket").applyInPandas(work, _ROWS))
-        del asked
-        release(spark)
-        return got
+        return stored(asked.repartition(parts, "bucket").groupBy("bucket").applyInPandas(work, _ROWS))
 
     def with_chunks(answers: DataFrame, work, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(work, schema)
 
     words = answer(chunks.mapInPandas(ask_words, _ROWS), _count_words)
+    release(spark)
 
     def added(batches: Docs) -> Docs:
         total = np.zeros(3, np.int64)
@@ -391,8 +400,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
 
     def ask_states(d: int):
         def ask(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            asked = _Walk(chunk["blob"].iloc[0], answers).descend(root, buckets, d, model)[0]
-            return pd.DataFrame([(chunk["chunk"].iloc[0], d, to, blob) for to, blob in asked.blocks()] if asked else [], columns=columns)
+            asked, p, _ = _Walk(chunk["blob"].iloc[0], answers).descend(root, buckets, d, model)
+            return pd.DataFrame([(chunk["chunk"].iloc[0], d, to, blob) for to, blob in asked.blocks(p)] if asked else [], columns=columns)
 
         return ask
 
@@ -401,15 +410,16 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, model: Settings = Sett
 
     for d in range(1, model.depth + 1):
         known = known.union(answer(with_chunks(known, ask_states(d), _ROWS), count_states))
+        release(spark)
 
     def add_up(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         walk = _Walk(chunk["blob"].iloc[0], answers)
-        _, lp, c = walk.descend(root, buckets, model.depth, model)
+        _, p, c = walk.descend(root, buckets, model.depth, model)
         per_doc = lambda x: np.bincount(walk.doc, weights=x, minlength=len(walk.size))
         ids = pd.array(walk.ids, dtype="Int64")
         ids[walk.null > 0] = pd.NA
         known, base = per_doc(c > 0).astype(np.int64), per_doc(np.log10(c + 1.0))
-        return pd.DataFrame({"doc_id": ids, "held_out": walk.out > 0, "n_tokens": walk.size.astype(np.int64), "n_known": known, "base": base, "score": per_doc(lp)})
+        return pd.DataFrame({"doc_id": ids, "held_out": walk.out > 0, "n_tokens": walk.size.astype(np.int64), "n_known": known, "base": base, "score": per_doc(np.log10(p))})
 
     found = with_chunks(known, add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))
