@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut at block-level tags into a flat list of text blocks. Each block has
-its word count and link density, those of the blocks before and after it, and
-whether it stands in an article or in an element for menus, headers, footers,
-sidebars, notices, adverts, forms or comments. A decision tree, grown on the small
-labelled table below, marks the blocks of the article.
+its word count and link density, those of the blocks before and after it, its kind
+(heading, paragraph, list item or other text), and whether it stands apart: in an element
+for menus, headers, footers, sidebars, notices, adverts, forms or comments. A decision tree, grown on the small
+labelled table below by least impurity, marks the blocks of the article. Link density and words of a block and its
+neighbours come first in it; standing apart decides only what they leave open, as a reader's
+comment reads like a paragraph of the article.
 
 Defined cases: null and empty pages give an empty text; a comment, script or style that
 never ends runs to the end of the page; a ``<`` that opens no tag is text; an unclosed
@@ -32,6 +34,7 @@ CONTAINERS = frozenset(
     "article aside blockquote button details dialog div dl fieldset figure footer form header main menu nav ol search section select table ul".split()
 )
 OUTSIDE = frozenset("aside button dialog fieldset footer form header menu nav search select".split())
+KINDS = {"p": "paragraph", "blockquote": "paragraph", "pre": "paragraph", "li": "item", "dd": "item", "dt": "item", **{f"h{k}": "heading" for k in range(1, 7)}}
 UNSEEN = frozenset("script style noscript template textarea title iframe svg math object canvas audio video head".split())
 HINTS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header "
@@ -51,8 +54,8 @@ class Block:
     text: str
     words: int
     links: float
-    article: bool
-    outside: bool
+    kind: str
+    apart: bool
 
 
 def _marks(name: str, attrs: str, in_article: bool) -> bool:
@@ -77,15 +80,16 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in an article, outside the main text
+    stack: list[tuple[str, bool, bool]] = []  # element, in an article, apart from the main text
     article = outside = in_link = False
+    kind = ""
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(parts)).strip(" ")
         if text:
             n = text.count(" ") + 1
             inside = len(_SPACE.sub(" ", " ".join(linked)).split()) if linked else 0
-            out.append(Block(text, n, min(1.0, inside / n), article, outside))
+            out.append(Block(text, n, min(1.0, inside / n), kind, outside))
         parts.clear()
         linked.clear()
 
@@ -115,6 +119,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         elif name in BLOCKS:
             flush()
+            kind = KINDS.get(name, "") if not closing else ""
             if name in CONTAINERS:
                 if not closing:
                     stack.append((name, article, outside))
@@ -133,32 +138,50 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-#: Labelled blocks: words and link density of the block, of the one before, of the one after; in an article; outside; main text.
+#: Labelled blocks: words and link density of the block, of the one before, of the one after; kind (p, h, li, or other); apart; main text.
 TABLE = [
-    # paragraphs of an article, long and short, with and without links
-    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 1), (45, 0.1, 12, 0.0, 90, 0.0, 1, 0, 1), (25, 0.0, 80, 0.0, 10, 0.3, 1, 0, 1), (3, 0.0, 90, 0.0, 60, 0.0, 1, 0, 1),
-    (1, 0.0, 40, 0.0, 50, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (9, 0.0, 20, 0.0, 120, 0.0, 1, 0, 1), (12, 0.0, 8, 0.0, 30, 0.0, 1, 0, 1),
-    (6, 1.0, 30, 0.0, 60, 0.0, 1, 0, 1), (2, 0.5, 70, 0.0, 12, 0.0, 1, 0, 1), (150, 0.05, 1, 1.0, 9, 0.1, 1, 0, 1), (1, 0.0, 1, 1.0, 14, 0.0, 1, 0, 1),
-    (14, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (8, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1), (1, 1.0, 1, 0.0, 2, 0.0, 1, 0, 1), (5, 0.0, 6, 0.0, 0, 0.0, 1, 0, 1),
-    # short or linked blocks that would not be the main text elsewhere are, within an article
-    (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1), (4, 1.0, 3, 1.0, 40, 0.0, 1, 0, 1), (10, 0.9, 8, 1.0, 9, 1.0, 1, 0, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1),
-    (5, 0.0, 3, 0.7, 4, 1.0, 1, 0, 1), (25, 0.8, 20, 0.9, 30, 0.7, 1, 0, 1), (60, 0.9, 40, 0.8, 50, 0.9, 1, 0, 1), (2, 0.5, 4, 0.0, 0, 0.0, 1, 0, 1),
-    (3, 0.0, 5, 0.0, 3, 0.0, 1, 0, 1), (4, 0.0, 4, 0.0, 0, 0.0, 1, 0, 1), (5, 1.0, 70, 0.0, 60, 0.0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1),
-    # adverts, notices and comments within or beside an article
-    (14, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0), (9, 0.0, 80, 0.0, 90, 0.0, 1, 1, 0), (60, 0.0, 40, 0.0, 40, 0.0, 1, 1, 0), (3, 1.0, 100, 0.0, 80, 0.0, 1, 1, 0),
-    (40, 0.0, 30, 0.0, 25, 0.0, 0, 1, 0), (120, 0.1, 90, 0.0, 5, 1.0, 0, 1, 0), (1, 0.0, 60, 0.0, 1, 0.0, 1, 1, 0), (25, 0.0, 0, 0.0, 30, 0.0, 1, 1, 0),
-    # menus, headers and footers
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (2, 1.0, 2, 1.0, 14, 0.0, 0, 1, 0), (12, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0),
-    (20, 0.1, 4, 0.0, 0, 0.0, 0, 1, 0), (6, 0.3, 50, 0.0, 0, 0.0, 0, 1, 0), (15, 0.9, 15, 0.9, 10, 0.0, 0, 1, 0), (90, 0.0, 2, 1.0, 70, 0.0, 0, 1, 0),
-    # pages without an article element: long or well-neighboured blocks are the main text
-    (70, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1), (35, 0.1, 2, 1.0, 60, 0.0, 0, 0, 1), (22, 0.0, 40, 0.0, 5, 0.8, 0, 0, 1), (120, 0.2, 3, 1.0, 3, 1.0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (4, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (9, 0.0, 60, 0.1, 30, 0.0, 0, 0, 1), (6, 0.0, 1, 1.0, 35, 0.0, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 8, 0.0, 0, 0, 1), (18, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (16, 0.0, 25, 0.0, 0, 0.0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (4, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0), (10, 0.9, 8, 1.0, 9, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 3, 0.7, 4, 1.0, 0, 0, 0), (25, 0.8, 20, 0.9, 30, 0.7, 0, 0, 0), (60, 0.9, 40, 0.8, 50, 0.9, 0, 0, 0),
-    (2, 0.5, 4, 0.0, 0, 0.0, 0, 0, 0), (3, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0), (4, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0), (5, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0),
+    # paragraphs, long and short, among others of their kind
+    (80, 0.0, 60, 0.0, 70, 0.0, "p", 0, 1), (45, 0.1, 12, 0.0, 90, 0.0, "p", 0, 1), (25, 0.0, 80, 0.0, 10, 0.3, "p", 0, 1), (3, 0.0, 90, 0.0, 60, 0.0, "p", 0, 1),
+    (1, 0.0, 40, 0.0, 50, 0.0, "p", 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, "p", 0, 1), (9, 0.0, 20, 0.0, 120, 0.0, "p", 0, 1), (12, 0.0, 8, 0.0, 30, 0.0, "p", 0, 1),
+    (2, 0.5, 70, 0.0, 12, 0.0, "p", 0, 1), (150, 0.05, 1, 1.0, 9, 0.1, "p", 0, 1), (14, 0.0, 1, 1.0, 40, 0.0, "p", 0, 1), (30, 0.2, 40, 0.0, 2, 1.0, "p", 0, 1),
+    (1, 0.0, 14, 0.0, 12, 0.0, "p", 0, 1), (2, 0.0, 3, 0.0, 15, 0.0, "p", 0, 1), (14, 0.0, 0, 0.0, 0, 0.0, "p", 0, 1), (5, 0.0, 6, 0.0, 0, 0.0, "p", 0, 1), (40, 0.4, 60, 0.1, 50, 0.0, "p", 0, 1),
+    # the last of a page
+    (40, 0.0, 60, 0.0, 0, 0.0, "p", 0, 1), (8, 0.0, 50, 0.0, 0, 0.0, "p", 0, 1), (20, 0.1, 25, 0.0, 0, 0.0, "p", 0, 1), (6, 0.0, 30, 0.0, 0, 0.0, "li", 0, 1), (2, 0.0, 90, 0.0, 0, 0.0, "p", 0, 1), (45, 0.0, 20, 0.0, 0, 0.0, "", 0, 1),
+    # beside lists of links
+    (6, 0.0, 2, 1.0, 40, 0.0, "p", 0, 1), (1, 0.0, 1, 1.0, 12, 0.0, "p", 0, 1), (4, 0.0, 40, 0.0, 1, 1.0, "p", 0, 1), (1, 0.0, 12, 0.0, 2, 1.0, "p", 0, 1), (9, 0.0, 60, 0.0, 1, 1.0, "p", 0, 1), (12, 0.2, 4, 0.0, 2, 1.0, "p", 0, 1),
+    (4, 0.0, 1, 1.0, 60, 0.0, "h", 0, 1), (1, 0.0, 1, 1.0, 30, 0.0, "h", 0, 1), (1, 0.0, 3, 1.0, 9, 0.0, "h", 0, 1), (2, 0.0, 1, 1.0, 1, 0.0, "h", 0, 1), (8, 0.0, 2, 1.0, 30, 0.0, "h", 0, 1), (9, 0.0, 1, 1.0, 14, 0.0, "h", 0, 1), (7, 0.0, 1, 1.0, 20, 0.0, "h", 0, 1), (6, 0.0, 2, 1.0, 12, 0.0, "p", 0, 1), (9, 0.0, 1, 1.0, 16, 0.0, "p", 0, 1), (25, 0.25, 40, 0.0, 12, 0.0, "p", 0, 1), (8, 0.25, 9, 0.0, 30, 0.1, "p", 0, 1),
+    # headings before text; those over lists of links are not of the article
+    (9, 0.0, 12, 0.0, 60, 0.0, "h", 0, 1), (3, 0.0, 90, 0.0, 70, 0.1, "h", 0, 1), (12, 0.0, 1, 1.0, 3, 0.0, "h", 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, "h", 0, 1), (25, 0.0, 8, 0.0, 40, 0.0, "h", 0, 1),
+    (6, 0.0, 0, 0.0, 25, 0.0, "h", 0, 1), (2, 0.0, 30, 0.0, 12, 0.0, "h", 0, 1), (7, 0.0, 14, 0.0, 1, 0.0, "h", 0, 1),
+    (2, 0.0, 10, 0.0, 2, 1.0, "h", 0, 0), (1, 0.0, 1, 1.0, 1, 1.0, "h", 0, 0), (3, 0.0, 70, 0.0, 6, 1.0, "h", 0, 0), (4, 0.0, 12, 0.0, 8, 0.9, "h", 0, 0),
+    # list items of text
+    (10, 0.0, 40, 0.0, 12, 0.0, "li", 0, 1), (3, 0.0, 5, 0.0, 3, 0.0, "li", 0, 1), (2, 0.0, 60, 0.0, 2, 0.0, "li", 0, 1), (30, 0.1, 25, 0.0, 30, 0.2, "li", 0, 1), (4, 0.0, 4, 0.0, 0, 0.0, "li", 0, 1), (1, 0.0, 1, 0.0, 50, 0.0, "li", 0, 1),
+    # menus, lists of links, link bars, whatever their element
+    (1, 1.0, 1, 1.0, 1, 1.0, "li", 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, "li", 1, 0), (2, 1.0, 2, 1.0, 14, 0.0, "li", 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, "li", 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, "li", 0, 0),
+    (4, 1.0, 3, 1.0, 40, 0.0, "li", 0, 0), (6, 1.0, 2, 0.0, 7, 1.0, "li", 0, 0), (9, 1.0, 8, 1.0, 10, 1.0, "li", 0, 0), (3, 0.9, 70, 0.0, 4, 1.0, "li", 0, 0), (10, 0.9, 8, 1.0, 9, 1.0, "p", 0, 0),
+    (25, 0.8, 20, 0.9, 30, 0.7, "p", 0, 0), (60, 0.9, 40, 0.8, 50, 0.9, "", 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, "", 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, "", 0, 0), (12, 0.8, 70, 0.0, 3, 1.0, "", 0, 0), (2, 1.0, 80, 0.0, 1, 1.0, "p", 0, 0),
+    (5, 1.0, 70, 0.0, 60, 0.0, "p", 0, 0), (3, 1.0, 100, 0.0, 80, 0.0, "", 1, 0), (15, 0.9, 15, 0.9, 10, 0.0, "", 1, 0), (1, 1.0, 50, 0.0, 1, 1.0, "", 0, 0), (7, 1.0, 4, 0.0, 8, 1.0, "h", 0, 0), (5, 0.7, 12, 0.0, 40, 0.0, "p", 0, 0),
+    # text of no such element: long blocks are of the article, short ones are labels, adverts and notes
+    (70, 0.0, 50, 0.0, 60, 0.0, "", 0, 1), (35, 0.1, 2, 1.0, 60, 0.0, "", 0, 1), (22, 0.0, 40, 0.0, 5, 0.8, "", 0, 1), (120, 0.2, 3, 1.0, 3, 1.0, "", 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, "", 0, 1), (16, 0.0, 25, 0.0, 60, 0.0, "", 0, 1),
+    (9, 0.0, 60, 0.1, 30, 0.0, "", 0, 1), (4, 0.0, 50, 0.0, 45, 0.0, "", 0, 1), (14, 0.0, 0, 0.0, 0, 0.0, "", 0, 1), (12, 0.0, 30, 0.0, 40, 0.0, "", 0, 1),
+    (8, 0.0, 1, 1.0, 12, 0.0, "", 0, 0), (5, 0.0, 1, 1.0, 30, 0.0, "", 0, 0), (11, 0.0, 1, 1.0, 60, 0.0, "", 0, 0), (3, 0.0, 2, 1.0, 9, 0.0, "", 0, 0), (1, 0.0, 1, 1.0, 16, 0.0, "", 0, 0), (9, 0.0, 1, 1.0, 5, 0.0, "", 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, "", 0, 0), (5, 0.0, 3, 0.7, 4, 1.0, "", 0, 0), (12, 0.0, 70, 0.0, 0, 0.0, "", 1, 0),
+    (14, 0.0, 1, 1.0, 12, 0.0, "", 1, 0), (6, 0.3, 50, 0.0, 0, 0.0, "", 1, 0), (20, 0.1, 4, 0.0, 0, 0.0, "", 1, 0), (2, 0.0, 1, 1.0, 9, 0.0, "", 1, 0), (90, 0.0, 2, 1.0, 70, 0.0, "", 1, 0),
+    # text that stands apart: notices, adverts, comments, sidebars
+    (60, 0.0, 40, 0.0, 40, 0.0, "p", 1, 0), (40, 0.0, 30, 0.0, 25, 0.0, "p", 1, 0), (120, 0.1, 90, 0.0, 5, 0.0, "p", 1, 0), (9, 0.0, 80, 0.0, 90, 0.0, "p", 1, 0), (25, 0.0, 3, 0.0, 30, 0.0, "p", 1, 0),
+    (1, 0.0, 60, 0.0, 1, 0.0, "p", 1, 0), (3, 0.0, 70, 0.0, 30, 0.0, "h", 1, 0), (2, 0.0, 12, 0.0, 40, 0.0, "h", 1, 0), (8, 0.0, 9, 0.0, 7, 0.0, "li", 1, 0), (30, 0.0, 60, 0.0, 80, 0.0, "", 1, 0),
 ]
-NAMES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "outside"]
+NAMES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "paragraph", "heading", "item", "apart"]
+_SHORT = {"p": "paragraph", "h": "heading", "li": "item"}
+
+
+def features(words: int, links: float, before: tuple[int, float], after: tuple[int, float], kind: str, apart: bool) -> tuple:
+    return (words, links, *before, *after, *(int(kind == k) for k in ("paragraph", "heading", "item")), int(apart))
+
+
+def labelled(table: list[tuple] = TABLE) -> list[tuple]:
+    return [(*features(r[0], r[1], r[2:4], r[4:6], _SHORT.get(r[6], ""), r[7]), r[8]) for r in table]
+
+
 DEPTH = 7
 
 Tree = tuple | int
@@ -198,23 +221,14 @@ def decide(tree: Tree, row: tuple) -> int:
 
 def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
-    kept = []
-    for k, b in enumerate(found):
-        before = found[k - 1] if k else None
-        after = found[k + 1] if k + 1 < len(found) else None
-        row = (
-            b.words, b.links, before.words if before else 0, before.links if before else 0.0,
-            after.words if after else 0, after.links if after else 0.0, int(b.article), int(b.outside),
-        )
-        if decide(tree, row):
-            kept.append(b.text)
-    return "\n".join(kept)
-
-
-def extract(pages: DataFrame, html_col: str = "html", labelled: list[tuple] | None = None) -> DataFrame:
+    around = [(0, 0.0), *((b.words, b.links) for b in found), (0, 0.0)]
+    return "\n".join(b.text for k, b in enumerate(found) if decide(tree, features(b.words, b.links, around[k], around[k + 2], b.kind, b.apart)))
+
+
+def extract(pages: DataFrame, html_col: str = "html", table: list[tuple] | None = None) -> DataFrame:
     """``pages`` with ``text``, the main text, and ``n_chars``, its code points."""
     pages = pages.drop("text", "n_chars")  # columns of these names are replaced
-    tree = grow(labelled or TABLE)
+    tree = grow(labelled(table or TABLE))
 
     @F.pandas_udf("string")
     def of(raw: pd.Series) -> pd.Series:

@@ -278,6 +278,54 @@ def test_html(spark):
     assert htmltext.extract(d.limit(0)).count() == 0
 
 
+def page(r, style):
+    """A random page and its main text, known as it is made."""
+    word = lambda: "".join(r.choice(["an", "ber", "is", "ko", "lé", "ß", "tum"]) for _ in range(r.randint(1, 3)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    spaced = lambda t: t.replace(" ", r.choice([" ", "\n", "  ", "&#32;"]))
+    links = lambda n: "".join(f"<li><a href='/{k}'>{say(r.randint(1, 2))}</a></li>" for k in range(n))
+    texts = [say(r.randint(2, 9))] + [say(r.choice([1, 4, 12, 40, 90])) for _ in range(r.randint(1, 9))]
+    body = f"<h1>{spaced(texts[0])}</h1>"
+    for t in texts[1:]:
+        w = t.split(" ")
+        if len(w) > 12:  # a few words in a link, others emphasised
+            w[2], w[5] = f"<a href=x>{w[2]}</a>", f"<b class='hot'>{w[5]}</b>"
+        body += f"<p>{spaced(' '.join(w))}" + r.choice(["</p>", "", "<script>if (a < b) { c('</p>') }</script></p>", "<!-- <p>note</p> --></p>"])
+    article = {"article": f"<article>{body}</article>", "main": f"<main><div class=content>{body}</div></main>", "plain": f"<div id=content>{body}</div>"}[style]
+    extras = [
+        f"<aside><p>{say(30)}</p><ul>{links(4)}</ul></aside>", f"<section id=comments><p>{say(60)}</p><p>{say(3)}</p></section>", f"<div class='cookie-notice'>{say(20)}</div>",
+        f"<form><label>{say(3)}</label><textarea>{say(30)}</textarea><input></form>", f"<ul>{links(5)}</ul>", f"<div class=sidebar><h3>{say(2)}</h3><ul>{links(3)}</ul></div>", f"<div class=ad>{say(12)}</div>",
+    ]
+    before, after = r.sample(extras, 2), r.sample(extras, 3)
+    head = f"<html><head><title>{say(5)}</title><style>p {{ x: '</p>' }}</style></head><body><header><p>{say(4)}</p></header><nav><ul>{links(6)}</ul></nav>"
+    return head + "".join(before) + article + "".join(after) + f"<footer>&copy; {say(10)}</footer></body></html>", "\n".join(texts)
+
+
+def test_html_of_generated_pages(spark):
+    r = random.Random(6)
+    made = [page(r, style) for style in ("article", "main", "plain") for _ in range(60)]
+    long = "<article>" + "".join(f"<p>{'word ' * 500}</p>" for _ in range(400)) + "</article>"
+    rows = [(k, x) for k, (x, _) in enumerate(made)] + [(1000, long), (1000, long), (1001, made[0][0])]
+    got = {x["page_id"]: x["text"] for x in htmltext.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert [got[k] for k in range(len(made))] == [t for _, t in made]
+    assert got[1001] == got[0] and got[1000] == "\n".join([("word " * 500).strip()] * 400)
+
+
+def test_html_tree_uses_words_and_links_of_neighbours():
+    tree, used = htmltext.grow(htmltext.labelled()), set()
+
+    def walk(t):
+        if not isinstance(t, int):
+            used.add(htmltext.NAMES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert htmltext.NAMES[tree[0]] == "links" and {"words", "links_before", "links_after"} <= used
+    rows = htmltext.labelled()
+    assert sum(htmltext.decide(tree, r[:-1]) == r[-1] for r in rows) >= 0.97 * len(rows)
+
+
 @pytest.mark.parametrize("model", [suffix_tree.Settings(), suffix_tree.Settings(chunk=300, bucket=500, hot=5)])
 def test_lm_counts_and_states_match_brute_force(spark, docs, empty, model):
     """The second run has many chunks and buckets, and hot contexts in sub-buckets; the model is the same."""
