@@ -1,12 +1,18 @@
 """Quality rules with thresholds learned from mergeable quantile sketches.
 
-Every document gets integer statistics. Each statistic is put on a fixed
-grid (per mille of the text), so that the count per grid cell is a quantile
+Every document gets counts, each with what it is counted among: symbols and capitals among the characters of
+words, characters of words per word, repeated lines among lines, words in repeated windows among
+words. Rates are put on a fixed grid, so that the number of documents per grid cell is a quantile
 sketch of bounded size which merges by addition, in any order, to the same
-result. Sketches are kept per language and source, merged upwards into
-languages and the whole corpus for groups that are too small, and read off as
-``Q3 + max(3 * (Q3 - Q1), slack)``. A document is kept if it passes the base
-rule and none of its statistics lies above the fence of its group.
+result. Sketches are kept per language and source, and merged into languages and the whole
+corpus. Quantiles of a group are drawn towards those of its language, and these towards those of the
+corpus, as if ``PRIOR`` documents more had the coarser quantile, so small groups change by degrees.
+
+Fences come from the spread of the group alone: three interquartile ranges beyond the quartiles or, for
+repetition, of which most documents have none and many clean ones some, three times the distance of the 99th from the
+90th percentile beyond the 99th. The only tolerance is that of counting: a document whose rate is just at the fence
+would have a count of ``m``, give or take, so it is out if its count is over ``m + 3 sqrt(m) + 3`` (below: under
+``m - 3 sqrt(m) - 3``). A document is kept if it passes the base rule and none of its counts is out.
 
 Defined cases: a null text counts as an empty one (no words, base_failed); null
 language or source forms a group of its own with the empty name; repeated rows
@@ -24,10 +30,18 @@ from spoor.llm.common import UPPER, WHITESPACE, bind, count_chars, materialize,
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 50
+PRIOR = 50
+WIDTH = 3
 MAX_BROADCAST_GROUPS = 10_000
-#: statistic -> the least distance of its fence from the third quartile.
-SLACK = {"symbols": 50, "upper": 200, "dup_lines": 300, "repeats": 200, "word_length": 300}
+#: statistic -> (count, counted among, grid cells per unit, by its tail, fence below too)
+METRICS = {
+    "symbols": ("n_symbols", "word_chars", 1000, False, False),
+    "upper": ("n_upper", "word_chars", 1000, False, False),
+    "word_length": ("word_chars", "n_words", 100, False, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, True, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, True, False),
+}
+QUANTILES = {"q25": 25, "q75": 75, "q90": 90, "q99": 99}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -75,25 +89,17 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"),
     )
 
-    def per(x: Column, y: Column, scale: int) -> Column:
-        return F.floor(x * scale / F.greatest(y, F.lit(1)))
-
     def named(s: Column) -> Column:
-        n, chars, rep = s["w"]["n"].cast("long"), s["word_chars"], s["w"]["repeat"]
+        n, rep = s["w"]["n"].cast("long"), s["w"]["repeat"]
         return F.struct(
             n.alias("n_words"),
-            chars.alias("word_chars"),
+            s["word_chars"].alias("word_chars"),
             s["n_symbols"].alias("n_symbols"),
             s["l"]["dup"].cast("long").alias("n_dup_lines"),
             rep.alias("n_repeat_words"),
             ((n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
-            F.struct(
-                per(s["n_symbols"], chars, 1000).alias("symbols"),
-                per(s["n_upper"], chars, 1000).alias("upper"),
-                per(s["l"]["dup"], s["l"]["n"], 1000).alias("dup_lines"),
-                per(rep, n, 1000).alias("repeats"),
-                F.least(per(chars, n, 100), F.lit(10_000)).alias("word_length"),
-            ).alias("grid"),
+            s["n_upper"].alias("n_upper"),
+            s["l"]["n"].cast("long").alias("n_lines"),
             s["lang"].alias("lang"),
             s["source"].alias("source"),
         )
@@ -105,7 +111,8 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 def sketches(stats: DataFrame) -> DataFrame:
     """Counts per language, source, statistic and grid cell of the documents that pass the base rule."""
     s = F.col("stats")
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), s["grid"][m].cast("long").alias("cell")) for m in SLACK])
+    cell = lambda c, d, scale: F.floor(s[c] * scale / F.greatest(s[d], F.lit(1))).cast("long")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), cell(*how[:3]).alias("cell")) for m, how in METRICS.items()])
     # an empty array rather than a filter, which would work the statistics out once more
     passed = F.explode(F.when(s["base_failed"], F.slice(cells, 1, 0)).otherwise(cells))
     return (
@@ -115,44 +122,47 @@ def sketches(stats: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper fences per group of ``keys``: the sketches merged, the quartiles read off."""
+def quantiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """The sketches merged per group of ``keys``, their quantiles read off, and their number of documents."""
     merged = sketch.groupBy(*keys, "metric", "cell").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
-    read = ranked.groupBy(*keys, "metric").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("cell"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("cell"))).alias("q3"),
-        F.max("all").alias("docs"),
-    )
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    fence = F.col("q3") + F.greatest(3 * (F.col("q3") - F.col("q1")), F.element_at(slack, F.col("metric")))
-    return (
-        read.groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("metric", fence.alias("fence")))).alias("fences"), F.max("docs").alias("docs"))
-        .where(F.col("docs") >= (MIN_GROUP if keys else 1))
-        .drop("docs")
-    )
+    read = [F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("cell"))).alias(prefix + name) for name, q in QUANTILES.items()]
+    return ranked.groupBy(*keys, "metric").agg(*read, F.max("all").alias(prefix + "docs"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """``lang, source, metric, low, high``: the fences of every group, as grid cells."""
+    found = quantiles(sketch, ["lang", "source"], "g_").join(quantiles(sketch, ["lang"], "l_"), ["lang", "metric"]).join(quantiles(sketch, [], "a_"), ["metric"])
+
+    def drawn(own: str, docs: str, coarser: Column) -> Column:
+        return F.floor((F.col(own) * F.col(docs) + coarser * PRIOR) / (F.col(docs) + PRIOR)).cast("long")
+
+    q = {name: drawn(f"g_{name}", "g_docs", drawn(f"l_{name}", "l_docs", F.col(f"a_{name}"))) for name in QUANTILES}
+    tails, below = ([m for m, how in METRICS.items() if how[k]] for k in (3, 4))
+    tail = F.col("metric").isin(tails)
+    high = F.when(tail, q["q99"] + WIDTH * (q["q99"] - q["q90"])).otherwise(q["q75"] + WIDTH * (q["q75"] - q["q25"]))
+    low = F.when(F.col("metric").isin(below), q["q25"] - WIDTH * (q["q75"] - q["q25"]))
+    return found.select("lang", "source", "metric", low.alias("low"), high.alias("high"))
 
 
 def judge(stats: DataFrame, sketch: DataFrame) -> DataFrame:
     """``stats`` with ``kept``. The fences, one row per group, are broadcast if they are few; else they join by key."""
-    sketch = materialize(sketch)
-    by_source = fences(sketch, ["lang", "source"]).withColumnRenamed("fences", "f_source")
-    by_lang = fences(sketch, ["lang"]).withColumnRenamed("fences", "f_lang")
-    overall = fences(sketch.withColumn("one", F.lit(1)), ["one"]).withColumnRenamed("fences", "f_all")
-    # both coarser levels are attached to the (small) finer table first, so the documents join only once
-    groups = (
-        sketch.select("lang", "source").distinct().join(by_source, ["lang", "source"], "left").join(by_lang, ["lang"], "left")
-        .withColumn("one", F.lit(1)).join(overall, ["one"], "left")
-        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("f_source", "f_lang", "f_all").alias("_fences"))
+    each = fences(materialize(sketch))
+    groups = each.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("_fences")
     )
-    s = F.col("stats")
-    within = F.lit(True)
-    for m in SLACK:
-        within = within & (s["grid"][m] <= F.element_at(F.col("_fences"), F.lit(m)))
     groups = materialize(groups)
     groups = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
+    s = F.col("stats")
+    within = F.lit(True)
+    for m, (c, d, scale, _, below) in METRICS.items():
+        fence = F.element_at(F.col("_fences"), F.lit(m))
+        most = (fence["high"] + 1) * F.greatest(s[d], F.lit(1)) / F.lit(float(scale))  # the upper edge of the cell
+        within = within & (s[c] <= most + 3 * F.sqrt(most) + 3)
+        if below:
+            least = F.greatest(fence["low"], F.lit(0)) * s[d] / F.lit(float(scale))
+            within = within & (s[c] >= least - 3 * F.sqrt(least) - 3)
     joined = stats.join(groups, (s["lang"] == F.col("_lang")) & (s["source"] == F.col("_source")), "left")
     return joined.withColumn("kept", F.when(s["base_failed"], F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))).drop("_lang", "_source", "_fences")
 
@@ -160,22 +170,23 @@ def judge(stats: DataFrame, sketch: DataFrame) -> DataFrame:
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _fence_sql(name: str, keys: list[str]) -> str:
+def _quantile_sql(name: str, keys: list[str]) -> str:
     by = "".join(f"{k}, " for k in keys)
     part = f"PARTITION BY {by}metric"
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in SLACK.items()) + " END"
-    least = MIN_GROUP if keys else 1
+    read = ", ".join(f"min(cell) FILTER (WHERE upto * 100 >= total * {q}) AS {name}" for name, q in QUANTILES.items())
     return f"""{name} AS (
-  SELECT {by}metric, q3 + greatest(3 * (q3 - q1), {slack}) AS fence FROM (
-    SELECT {by}metric, min(cell) FILTER (WHERE upto * 4 >= total) AS q1, min(cell) FILTER (WHERE upto * 4 >= total * 3) AS q3, max(total) AS docs FROM (
-      SELECT {by}metric, cell, sum(n) OVER ({part} ORDER BY cell) AS upto, sum(n) OVER ({part}) AS total
-      FROM (SELECT {by}metric, cell, count(*) AS n FROM cells GROUP BY ALL))
-    GROUP BY {by}metric) WHERE docs >= {least})"""
+  SELECT {by}metric, {read}, max(total) AS docs FROM (
+    SELECT {by}metric, cell, sum(n) OVER ({part} ORDER BY cell)::BIGINT AS upto, sum(n) OVER ({part})::BIGINT AS total
+    FROM (SELECT {by}metric, cell, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY {by}metric)"""
 
 
 def oracle() -> str:
     """The same rows as SQL for DuckDB; ids are taken to be unique."""
-    cells = ", ".join(f"{{'metric': '{m}', 'cell': g_{m}}}" for m in SLACK)
+    counts = ", ".join(f"{{'metric': '{m}', 'c': {c}, 'd': {'greatest(n_lines, 1)' if d == 'n_lines' else d}, 'scale': {scale}}}" for m, (c, d, scale, _, _) in METRICS.items())
+    drawn = ", ".join(
+        f"(g.{q} * g.docs + ((l.{q} * l.docs + a.{q} * {PRIOR}) // (l.docs + {PRIOR})) * {PRIOR}) // (g.docs + {PRIOR}) AS {q}" for q in QUANTILES
+    )
+    tails, below = (", ".join(f"'{m}'" for m, how in METRICS.items() if how[k]) for k in (3, 4))
     return f"""
 WITH given AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 parts AS (
@@ -188,26 +199,22 @@ covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, generate_serie
 counts AS (
   SELECT p.doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate(t, {_WS}, ''))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (length(t) - length(translate(t, '{UPPER}', '')))::BIGINT AS n_upper,
-         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM parts p LEFT JOIN covered c USING (doc_id)
 ),
-grid AS (
-  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-         n_symbols * 1000 // greatest(word_chars, 1) AS g_symbols, n_upper * 1000 // greatest(word_chars, 1) AS g_upper,
-         n_dup_lines * 1000 // greatest(n_lines, 1) AS g_dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS g_repeats,
-         least(word_chars * 100 // greatest(n_words, 1), 10000) AS g_word_length
-  FROM counts
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
+each AS (SELECT doc_id, lang, source, x.metric AS metric, x.c AS c, greatest(x.d, 1) AS d, x.scale AS scale FROM (SELECT doc_id, lang, source, unnest([{counts}]) AS x FROM judged WHERE NOT base_failed)),
+cells AS (SELECT lang, source, metric, c * scale // d AS cell FROM each),
+{_quantile_sql("by_source", ["lang", "source"])},
+{_quantile_sql("by_lang", ["lang"])},
+{_quantile_sql("overall", [])},
+drawn AS (SELECT g.lang, g.source, g.metric, {drawn} FROM by_source g JOIN by_lang l USING (lang, metric) JOIN overall a USING (metric)),
+fences AS (
+  SELECT lang, source, metric, CASE WHEN metric IN ({tails}) THEN q99 + {WIDTH} * (q99 - q90) ELSE q75 + {WIDTH} * (q75 - q25) END AS high,
+         CASE WHEN metric IN ({below}) THEN greatest(q25 - {WIDTH} * (q75 - q25), 0) END AS low FROM drawn
 ),
-cells AS (SELECT lang, source, c.metric AS metric, c.cell AS cell FROM (SELECT lang, source, unnest([{cells}]) AS c FROM grid WHERE NOT base_failed)),
-{_fence_sql("by_source", ["lang", "source"])},
-{_fence_sql("by_lang", ["lang"])},
-{_fence_sql("overall", [])},
-each AS (SELECT doc_id, lang, source, unnest([{cells}]) AS c FROM grid),
-outside AS (
-  SELECT DISTINCT e.doc_id FROM each e LEFT JOIN by_source s ON s.lang = e.lang AND s.source = e.source AND s.metric = e.c.metric
-  LEFT JOIN by_lang g ON g.lang = e.lang AND g.metric = e.c.metric LEFT JOIN overall o ON o.metric = e.c.metric
-  WHERE e.c.cell > coalesce(s.fence, g.fence, o.fence)
-)
+bounds AS (SELECT doc_id, c, (high + 1) * d / scale::DOUBLE AS most, low * d / scale::DOUBLE AS least FROM each JOIN fences USING (lang, source, metric)),
+outside AS (SELECT DISTINCT doc_id FROM bounds WHERE c > most + 3 * sqrt(most) + 3 OR c < least - 3 * sqrt(least) - 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.doc_id IS NULL AS kept
-FROM grid LEFT JOIN outside o USING (doc_id)
+FROM judged LEFT JOIN outside o USING (doc_id)
 """
