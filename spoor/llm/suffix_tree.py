@@ -18,7 +18,7 @@ counts and the states retained. Level 0 counts the words. The count of a context
 level above, so contexts met once are never sent, and what is asked for shrinks with depth. A context of over ``hot`` occurrences is dealt to as many sub-buckets as it needs by its next tokens; their
 gains add up. Buckets follow the number of tokens, so no task grows with the corpus, and no model is broadcast.
 
-Words are told apart by 64 bits of a hash, contexts by 40 bits within a bucket, next tokens of a context by 32 bits.
+Words are told apart by 64 bits of a hash, contexts by 40 bits within a bucket, next tokens of a context by 32 bits (24 for contexts met up to 4096 times).
 
 Defined cases: a null or empty text is the end token alone; a null id is hashed as the empty text; without training
 documents counts are zero and the unknown has probability one; repeated rows are scored one by one; an empty table gives no
@@ -47,6 +47,7 @@ from spoor.llm.common import shared_folder, stored
 
 _STEPS = 20.0  # of the rounded parent's probability
 _KEY = 5
+_LARGE = 4096  # occurrences from which a context's next tokens take the fourth byte
 _ROWS = "chunk long, level int, bucket long, blob binary"
 Docs = Iterator[pd.DataFrame]
 
@@ -78,7 +79,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays byte plane by byte plane, compressed, with their sizes in front."""
     raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
     sizes = np.array([len(a) for a in arrays], dtype="<i8").tobytes()
-    return sizes + zstandard.ZstdCompressor(level=1).compress(raw)
+    return sizes + zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -221,7 +222,9 @@ class _Asked:
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True):
             lo, hi = int(ends[s] - per[s]), int(ends[e - 1])
-            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<i8"), per[s:e].astype("<u4"), x[lo:hi], q[lo:hi], count[lo:hi])
+            far = np.repeat(n[s:e] > _LARGE, per[s:e])
+            nxt = np.ascontiguousarray(x[lo:hi]).view(np.uint8).reshape(-1, 4)
+            yield int(self.bucket[s]), _pack(_key_bytes(self.key[s:e]), n[s:e].astype("<i8"), per[s:e].astype("<u4"), *nxt[:, :3].T, nxt[far, 3], q[lo:hi], count[lo:hi])
 
     def answered(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Whether the state of each position that asked is retained, and the count of each pair."""
@@ -255,8 +258,10 @@ def gains(n: np.ndarray, n_pair: np.ndarray, lp: np.ndarray, model: Settings) ->
 
 def _count_states(pdf: pd.DataFrame, model: Settings) -> pd.DataFrame:
     """One bucket: adds up the pairs asked for, tests the states, and answers each chunk."""
-    got = [_unpack(b, "key", "<i8", "<u4", "<u4", "u1", "<u4") for b in pdf["blob"]]
-    key, n, per, x, q, times = (np.concatenate(z) for z in zip(*got, strict=True))
+    got = [_unpack(b, "key", "<i8", "<u4", "u1", "u1", "u1", "u1", "u1", "<u4") for b in pdf["blob"]]
+    key, n, per, *low, high, q, times = (np.concatenate(z) for z in zip(*got, strict=True))
+    x = low[0] | low[1].astype("<u4") << 8 | low[2].astype("<u4") << 16
+    x[np.repeat(n > _LARGE, per)] |= high.astype("<u4") << 24
     _, first, entry = _groups(key)
     code, at, pair = _groups(np.repeat(entry.astype(np.uint64), per) << np.uint64(32) | x)
     total = np.bincount(pair, weights=times, minlength=len(code))
