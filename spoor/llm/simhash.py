@@ -128,8 +128,10 @@ def _forest(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
     return pd.DataFrame({"u": ids[moved], "v": ids[top[moved]] if len(ids) else ids})
 
 
-def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """``u, v``: nodes of distinct ``(table, fp)`` whose links connect all nodes with fingerprints ``distance`` or fewer bits apart."""
+def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, block: int = BLOCK, propose: bool = False) -> DataFrame:
+    """``u, v``: nodes of distinct ``(table, fp)`` whose links connect all nodes with fingerprints ``distance`` or fewer bits apart.
+
+    With ``propose``, members of a large bucket are tied to its least one unverified, for callers that verify the texts themselves."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments serve distances of 0 to 3 bits")
     w = Window.partitionBy("table", "key")
@@ -152,6 +154,9 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, block: int =
 
     pairs = buckets.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.u", "p.v")
     hot = met.where(F.col("n") > bucket)
+    if propose:
+        least = hot.groupBy("table", "key").agg(F.min("node").alias("v"))
+        return pairs.union(hot.join(least, ["table", "key"]).where("node <> v").select(F.col("node").alias("u"), "v")).distinct()
     more = _by_deletion(hot, distance) if distance <= 2 else _by_blocks(hot.withColumn("whole", whole), distance, block)
     return pairs.union(more).distinct()
 

@@ -1,8 +1,8 @@
 """Texts that share 0.8 or more of their five-word shingles, each pair verified on the shingle sets.
 
-Candidates come from SimHash fingerprints of word pairs (see ``simhash``) and from bands of
+Candidates come from SimHash fingerprints of word pairs, at most three bits apart (see ``simhash``), and from bands of
 MinHash values of the shingles: of two texts at a similarity of 0.8, a band of 5 values agrees with
-probability 0.33, so one of 20 bands does with 0.9996. Candidates only form groups. Within a group all
+probability 0.33, so one of 20 bands does with 0.9996. Large buckets of the deletion index are proposed whole. Candidates only form groups. Within a group all
 pairs that are not linked yet are compared by their whole shingle sets, in blocks of bounded
 size, so a group that hangs together by chance falls apart again, and none of its true pairs is lost.
 
@@ -27,6 +27,7 @@ from spoor.llm.common import materialize, stored
 from spoor.llm.components import components
 
 SIZE, SHARE = 5, 0.8
+TABLES = 1
 BANDS, ROWS = 20, 5
 BLOCK = 4_000_000  # shingles compared at once, of one side
 _CHUNK = 1 << 14
@@ -57,7 +58,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("struct<fps: array<long>, bands: array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        fps = [np.array(simhash.fingerprints_of(t, 2, 4), dtype=np.uint64).view(np.int64) for t in texts]
+        fps = [np.array(simhash.fingerprints_of(t, 2, TABLES), dtype=np.uint64).view(np.int64) for t in texts]
         return pd.DataFrame({"fps": fps, "bands": [bands(t) for t in texts]})
 
     got = docs.select("node", of("text").alias("k")).select("node", "k.fps", "k.bands")
@@ -67,12 +68,12 @@ def _keys(docs: DataFrame) -> DataFrame:
 def candidates(keys: DataFrame) -> DataFrame:
     """``u, v``: edges that connect all texts with a band in common or fingerprints at most three bits apart."""
     fps = keys.select("node", F.posexplode("fps").alias("table", "fp"))
-    all_keys = fps.union(keys.select("node", F.posexplode("bands").alias("b", "key")).select("node", F.col("b") + 4, "key"))
+    all_keys = fps.union(keys.select("node", F.posexplode("bands").alias("b", "key")).select("node", F.col("b") + TABLES, "key"))
     first = all_keys.groupBy("table", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
     shared = first.where("n > 1").select("table", "fp", F.col("node").alias("first"))
     same = all_keys.join(shared, ["table", "fp"]).where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     distinct = fps.groupBy("table", "fp").agg(F.min("node").alias("node"))
-    return same.union(simhash.links(distinct, 3))
+    return same.union(simhash.links(distinct, 3, propose=True))
 
 
 def verified_forest(pdf: pd.DataFrame, share: float = SHARE) -> pd.DataFrame:
