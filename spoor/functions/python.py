@@ -1,4 +1,4 @@
-"""The scalar functions Spark has no expression for: BLAKE2b buckets, gzip ratio and IP rules.
+"""The scalar functions Spark has no expression for: BLAKE2b buckets, gzip ratio, entropy and IP rules.
 
 Each is an Arrow-batched UDF that works once per distinct value of a batch, so repeated
 binaries, directories and addresses cost one call each and no shuffle.
@@ -11,6 +11,7 @@ import hashlib
 import ipaddress
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def gzip_ratio_of(value: str | None) -> float | None:
     return len(gzip.compress(raw)) / len(raw)
 
 
+def entropy_of(value: str | None) -> float | None:
+    """Shannon entropy in bits over code points; equal multisets of characters give equal sums. None for null and empty."""
+    if not value:
+        return None
+    points = np.frombuffer(value.encode("ascii"), np.uint8) if value.isascii() else np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = np.bincount(points) if value.isascii() else np.unique(points, return_counts=True)[1]
+    share = np.sort(counts[counts > 0]) / len(points)
+    return float(-np.cumsum(share * np.log2(share))[-1]) + 0.0
+
+
 def ip_category_of(value: str | None) -> str:
     """By the rules of Python 3.13's ipaddress, which count shared and documentation ranges as private or not."""
     try:
@@ -62,6 +73,14 @@ def gzip_ratio(c: Column | str) -> Column:
     return of(c)
 
 
+def entropy(c: Column | str) -> Column:
+    @F.pandas_udf("double")
+    def of(s: pd.Series) -> pd.Series:
+        return _once_per_value(s, entropy_of).astype("float64")
+
+    return of(c)
+
+
 def ip_category(c: Column | str) -> Column:
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:

@@ -1,4 +1,4 @@
-"""Scalar encoders as plain column expressions; all stay inside generated code."""
+"""Scalar encoders as plain column expressions."""
 
 from __future__ import annotations
 
@@ -208,10 +208,8 @@ def path_sensitivity(c: C) -> Column:
 
 def _path_sensitivity(p: Column) -> Column:
 
-    def test(s: str) -> Column:
-        return p.rlike(s) if s[0] == "^" else p.contains(s[1:]) if s[0] == "*" else p.startswith(s)
-
-    cases = [(_any([test(s) for s in starts]), code) for code, starts in vocab.PATH_STARTS]
+    tests = {"start": p.startswith, "pattern": p.rlike, "part": p.contains}
+    cases = [(_any([tests[kind](s) for s in texts]), code) for code, kind, texts in vocab.PATH_TESTS]
     return _first([(p.isNull() | (p == ""), vocab.PATH_NONE), *cases], vocab.PATH_OTHER).cast("int")
 
 
@@ -299,21 +297,3 @@ def parse_time_ns(c: C) -> Column:
 
 def micros_to_ns(c: C) -> Column:
     return F.unix_micros(_col(c)) * 1000
-
-
-def entropy(c: C) -> Column:
-    """Shannon entropy in bits over code points; counts are added in order, so equal multisets give equal sums. Null for null and empty."""
-    s = _col(c)
-    chars = F.filter(F.split(s, ""), lambda x: x != "")
-
-    def from_ends(ends: Column) -> Column:
-        n = F.element_at(ends, -1).cast("double")
-        counts = F.sort_array(F.transform(ends, lambda e, k: e - F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))))
-        return F.aggregate(counts, F.lit(0.0), lambda acc, m: acc - (m / n) * F.log2(m / n))
-
-    def of(a: Column) -> Column:
-        """``a``: the sorted characters; the ends of its runs give the counts."""
-        ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(a, i) != F.get(a, i - 1)))
-        return bind(ends, from_ends)
-
-    return F.when(s != "", bind(F.sort_array(chars), of))

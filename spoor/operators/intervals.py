@@ -2,7 +2,7 @@
 
 Of intervals that overlap only the latest started counts, so each is first cut off where the next starts.
 What is left is disjoint and joins by an equality on time bins plus a range check; a bin is so wide
-that the intervals together fall into a few thousand.
+that the intervals together fall into a few thousand. The bins are broadcast where they are few, as a busy hour may hold most events.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoor.functions.scalars import parse_time_ns
+from spoor.operators.order import cut, small
 
 _BINS = 2048
 
@@ -44,6 +45,7 @@ def disjoint(intervals: DataFrame) -> DataFrame:
 
 def _binned(events: DataFrame, found: DataFrame, low: str, high: Column, time: str) -> DataFrame:
     """Left join of events to disjoint intervals ``[low, high)``."""
+    found = cut(found)
     span = found.agg(F.min(low).alias("a"), F.max(high).alias("b")).head()
     if span["a"] is None:
         return events.join(found.limit(0), F.lit(False), "left")
@@ -53,7 +55,7 @@ def _binned(events: DataFrame, found: DataFrame, low: str, high: Column, time: s
 
     bins = found.withColumn("_bin", F.explode(F.sequence(at(F.col(low)), at(high - 1))))
     cond = (at(F.col(time)) == F.col("_bin")) & (F.col(time) >= F.col(low)) & (F.col(time) < high)
-    return events.join(bins, cond, "left").drop("_bin")
+    return events.join(small(bins), cond, "left").drop("_bin")
 
 
 def label_events(events: DataFrame, intervals: DataFrame, time: str = "event_time") -> DataFrame:
@@ -73,6 +75,7 @@ def trial_membership(events: DataFrame, trials: DataFrame, time: str = "event_ti
 
 def drop_sentinels(events: DataFrame, bounds: DataFrame, time: str = "event_time") -> DataFrame:
     """Events outside all intervals ``[start_ns, end_ns]``, closed at both ends; those without a time stay."""
+    bounds = cut(bounds)
     span = bounds.agg(F.min("start_ns").alias("a"), F.max("end_ns").alias("b")).head()
     if span["a"] is None:
         return events
@@ -80,7 +83,7 @@ def drop_sentinels(events: DataFrame, bounds: DataFrame, time: str = "event_time
     at = lambda c: F.floor((c - F.lit(span["a"])) / F.lit(width))
     bins = bounds.select("start_ns", "end_ns", F.explode(F.sequence(at(F.col("start_ns")), at(F.col("end_ns")))).alias("_bin"))
     inside = (at(F.col(time)) == F.col("_bin")) & F.col(time).between(F.col("start_ns"), F.col("end_ns"))
-    return events.join(bins, inside, "left_anti")
+    return events.join(small(bins), inside, "left_anti")
 
 
 def benign(events: DataFrame, label: str = "is_attack") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.operators.order import cut, lagged
+from spoor.operators.order import cut, lagged, small
 
 ALPHA, BACKOFF = 1.0, 0.4
 _MISSING = "None"  # a missing token is a token
@@ -68,7 +68,7 @@ def probability(model: NgramModel, prev2: Column, prev1: Column, counts: dict[st
 def score(df: DataFrame, model: NgramModel, **kw) -> DataFrame:
     """``df`` with ``score`` = -log P of each event after those before it in its process, and its ``level``.
 
-    Counts join by equality; prefix totals are sums of counts, joined as tables of their own."""
+    Counts join by equality, broadcast where they are few, as a few tokens hold most events; prefix totals are sums of counts, joined as tables of their own."""
     seq = sequences(df, **kw)
     three = model.three.select(F.col("prev2").alias("_a"), F.col("prev1").alias("_b"), F.col("w").alias("_c"), "n_ppw")
     pp = model.three.groupBy(F.col("prev2").alias("_d"), F.col("prev1").alias("_e")).agg(F.sum("n_ppw").alias("n_pp"))
@@ -77,11 +77,11 @@ def score(df: DataFrame, model: NgramModel, **kw) -> DataFrame:
     one = model.one.select(F.col("w").alias("_i"), "n_w")
     w, p1, p2 = F.col("w"), F.col("prev1"), F.col("prev2")
     joined = (
-        seq.join(three, (p2 == F.col("_a")) & (p1 == F.col("_b")) & (w == F.col("_c")), "left")
-        .join(pp, (p2 == F.col("_d")) & (p1 == F.col("_e")), "left")
-        .join(two, (p1 == F.col("_f")) & (w == F.col("_g")), "left")
-        .join(p, p1 == F.col("_h"), "left")
-        .join(one, w == F.col("_i"), "left")
+        seq.join(small(three), (p2 == F.col("_a")) & (p1 == F.col("_b")) & (w == F.col("_c")), "left")
+        .join(small(pp), (p2 == F.col("_d")) & (p1 == F.col("_e")), "left")
+        .join(small(two), (p1 == F.col("_f")) & (w == F.col("_g")), "left")
+        .join(small(p), p1 == F.col("_h"), "left")
+        .join(small(one), w == F.col("_i"), "left")
     )
     counts = {"ppw": F.col("n_ppw"), "pp": F.col("n_pp"), "pw": F.col("n_pw"), "p": F.col("n_p"), "w": F.col("n_w")}
     prob, level = probability(model, p2, p1, counts)

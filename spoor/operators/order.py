@@ -7,12 +7,14 @@ row per partition, so a key that holds a third of all rows is still shared by ma
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SMALL = 100_000  # rows of a table that may be broadcast
 _IN_PART = (1 << 33) - 1  # monotonically_increasing_id: partition above 33 bits, row within below
 
 
@@ -20,10 +22,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the folder the session names; one of our own only where it names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spoor-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one the session names, or one of our own on a single machine."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spoor-checkpoint-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, marked to be broadcast if it has ``rows`` rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def in_order(df: DataFrame, *order: str | Column) -> DataFrame:
     """``df`` range-partitioned and sorted, with ``_part`` and ``_at`` (place within the partition)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,6 @@
 """The model table: raw events to 3 identifiers and 33 encoded features, and to 27 behaviour columns more.
 
-All encoders stand in one select, so everything but the few Python scalars is one stage of generated code.
+All encoders stand in one select; the few Python scalars share one pass to the workers.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
         "f_lineage_bag_hash": py.hash_bucket(s.basename("parent_binary"), vocab.LINEAGE_BUCKETS),
         "f_in_init_tree": s.flag("proc_in_init_tree"), "f_is_procfs_walk": s.flag("proc_is_procfs_walk"), "f_uid_eq_parent": s.same_uid(),
         "f_is_setuid_exec": s.setuid_exec(), "f_args_truncated": s.flag("exec_truncated_args") if "exec_truncated_args" in have else F.lit(0),
-        "f_cmdline_entropy": s.entropy_bucket(s.entropy("proc_arguments")), "f_cmdline_compress": s.ratio_bucket(py.gzip_ratio("proc_arguments")),
+        "f_cmdline_entropy": s.entropy_bucket(py.entropy("proc_arguments")), "f_cmdline_compress": s.ratio_bucket(py.gzip_ratio("proc_arguments")),
         "f_time_since_parent_exec": s.time_since_bucket(),
         "f_kp_fd_install_fd_int32": F.coalesce(F.col("kp_fd_install_fd"), F.lit(-1)), "f_kp_fd_install_path_sensitivity": s.path_sensitivity("kp_fd_install_path"),
         "f_kp_mmap_path_sensitivity": s.path_sensitivity("kp_mmap_path"), "f_kp_mmap_prot_uint": zero("kp_mmap_prot"), "f_kp_mprotect_prot_uint": zero("kp_mprotect_prot"),

@@ -300,7 +300,7 @@ def q_hash_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM (SELECT row_idx, CASE WHEN proc_arguments <> '' THEN list_entropy(list_filter(string_split(proc_arguments, ''), lambda x: x <> '')) END AS h FROM telemetry)"
 )
 def q_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tel(spark, sf_dir).select("row_idx", s.entropy("proc_arguments").alias("h"))
+    t = tel(spark, sf_dir).select("row_idx", py.entropy("proc_arguments").alias("h"))
     return t.select("row_idx", F.round("h", 6).alias("entropy"), s.entropy_bucket("h").alias("bucket"))
 
 
@@ -319,6 +319,52 @@ def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.build_features(_complete(tel(spark, sf_dir)), keep=("row_idx",))
 
 
+_ENTROPY = "list_entropy(list_filter(string_split(proc_arguments, ''), lambda x: x <> ''))"
+#: The features that need no BLAKE2b and no gzip, as SQL.
+FEATURE_SQL = {
+    "f_event_type": sql_vocab("event_type", vocab.EVENT_TYPES, 3, 3), "f_kprobe_function": sql_vocab("kprobe_function_name", vocab.KPROBE_FUNCTIONS, 12, 13),
+    "f_kprobe_policy": sql_vocab("kprobe_policy_name", vocab.KPROBE_POLICIES, 6, 7), "f_kprobe_action": sql_vocab("kprobe_action", vocab.KPROBE_ACTIONS, 1, 2),
+    "f_proc_uid_bucket": case([("proc_uid = 0", 0), ("proc_uid = 1000", 1), ("proc_uid BETWEEN 1 AND 99", 2), ("proc_uid BETWEEN 100 AND 999", 3)], 4), "f_dst_port_bucket": PORT_BUCKET,
+    "f_args_length_bucket": case([(f"{_BYTES} = 0", 0), (f"{_BYTES} < 50", 1), (f"{_BYTES} < 200", 2), (f"{_BYTES} < 1000", 3), (f"{_BYTES} < 5000", 4)], 5),
+    "f_cap_count_bucket": case([(f"{_CAPS} = 0", 0), (f"{_CAPS} <= 2", 1), (f"{_CAPS} <= 5", 2), (f"{_CAPS} <= 15", 3)], 4),
+    "f_path_sens_cwd": sql_sensitivity("proc_cwd"), "f_path_sens_binary": sql_sensitivity(_DIR), "f_path_sens_kp": sql_sensitivity(KP_PATH),
+    "f_in_init_tree": "coalesce(proc_in_init_tree, false)", "f_is_procfs_walk": "coalesce(proc_is_procfs_walk, false)", "f_uid_eq_parent": "coalesce(proc_uid = parent_uid, false)",
+    "f_is_setuid_exec": "coalesce(event_type = 'process_exec', false) AND coalesce(len(proc_cap_effective), 0) > 0 AND coalesce(len(parent_cap_effective), 0) = 0", "f_args_truncated": "0",
+    "f_cmdline_entropy": case([("coalesce(proc_arguments, '') = ''", 0), (f"{_ENTROPY} < 2.0", 1), (f"{_ENTROPY} < 3.5", 2), (f"{_ENTROPY} < 4.5", 3), (f"{_ENTROPY} < 5.5", 4)], 5),
+    "f_time_since_parent_exec": case([(f"{_D} IS NULL", 0), (f"{_D} < 1000000", 1), (f"{_D} < 1000000000", 2), (f"{_D} < 60000000000", 3), (f"{_D} < 3600000000000", 4)], 5),
+    "f_kp_fd_install_fd_int32": "coalesce(kp_fd_install_fd, -1)", "f_kp_fd_install_path_sensitivity": sql_sensitivity("kp_fd_install_path"), "f_kp_mmap_path_sensitivity": sql_sensitivity("kp_mmap_path"),
+    "f_kp_mmap_prot_uint": "coalesce(kp_mmap_prot, 0)", "f_kp_mprotect_prot_uint": "coalesce(kp_mprotect_prot, 0)", "f_kp_commit_creds_uid_change": "coalesce(kp_creds_uid <> proc_uid, false)",
+    "f_kp_commit_creds_cap_change": "kp_creds_caps IS NOT NULL AND len(kp_creds_caps) <> coalesce(len(proc_cap_effective), -1)", "f_kp_tcp_connect_dst_port_bucket": PORT_BUCKET,
+    "f_kp_tcp_connect_sock_family": sql_vocab("kp_sock_family", vocab.SOCK_FAMILIES, 2, 3), "f_kp_udp_sendmsg_dport_eq_53": "coalesce(kp_sock_dport = 53, false)",
+}
+
+
+@query("SELECT row_idx, " + ", ".join(b(sql, name) for name, sql in FEATURE_SQL.items()) + " FROM telemetry")
+def q_features_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded features that SQL can express too."""
+    return features.build_features(_complete(tel(spark, sf_dir)), keep=("row_idx",)).select("row_idx", *FEATURE_SQL)
+
+
+_RICH = {
+    "f_action_family": sql_vocab("family", vocab.ACTION_FAMILIES, 14, 14), "f_lineage_depth": "coalesce(w.depth, 0)", "f_path_category": sql_vocab("pc", vocab.PATH_CATEGORIES, 9, 9),
+    "f_dst_ip_category": sql_vocab("ip", vocab.IP_CATEGORIES, 5, 5), "f_dst_port_category": sql_vocab("port", vocab.PORT_CATEGORIES, 6, 6), "f_object_category": sql_vocab("oc", vocab.OBJECT_CATEGORIES, 6, 6),
+    "f_process_age_log_bucket": LOG_BUCKET.format("(event_time - proc_start_time)"), "f_delta_t_log_bucket": LOG_BUCKET.format("greatest(delta, 0)"),
+}
+_LAST = "event_time - last_value(event_time IGNORE NULLS) OVER (PARTITION BY proc_exec_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "SELECT row_idx, " + ", ".join(b(sql, name) for name, sql in _RICH.items()) + ", coalesce(w.root, '') AS process_tree_root_exec_id, "
+    "coalesce(r.basename, '') AS root_ancestor_basename FROM "
+    f"(SELECT *, {FAMILY} AS family, {OBJECT} AS oc, {sql_path_category('chosen')} AS pc, {IP_CATEGORY} AS ip, {PORT_CATEGORY} AS port FROM (SELECT *, {CHOSEN} AS chosen, kp_sock_daddr AS a, {_LAST} AS delta FROM telemetry)) t "
+    "LEFT JOIN walked w ON w.exec_id = t.proc_exec_id LEFT JOIN procs r ON r.exec_id = w.root",
+    ("procs", "walk", "walked"),
+)
+def q_enriched_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behaviour columns that SQL can express too, of the whole enriched table."""
+    return QUERIES["q_enriched"](spark, sf_dir).select("row_idx", *_RICH, "process_tree_root_exec_id", "root_ancestor_basename")
+
+
 def _complete(df: DataFrame) -> DataFrame:
     """The adapter's columns plus nulls for raw columns it lacks."""
     missing = {c: F.lit(None).cast(t) for c, t in schema.RAW_COLUMNS if c not in df.columns}
@@ -328,11 +374,14 @@ def _complete(df: DataFrame) -> DataFrame:
 # ---- parsing
 
 
+_INUM = 1000001  # the monitored container of the adapter's lines
+
+
 def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adapter's rows written as event lines, with broken and foreign ones among them."""
     t = tel(spark, sf_dir)
     e = F.col("row_idx")
-    inum = F.when(e % 19 == 7, F.lit(None)).when(e % 23 == 5, F.lit(77)).otherwise(F.lit(vocab.DEFAULT_INUMS[0])).cast("bigint")
+    inum = F.when(e % 19 == 7, F.lit(None)).when(e % 23 == 5, F.lit(77)).otherwise(F.lit(_INUM)).cast("bigint")
     process = F.struct(
         F.col("proc_exec_id").alias("exec_id"), F.col("proc_pid").alias("pid"), F.col("proc_uid").alias("uid"), F.col("proc_binary").alias("binary"), F.col("proc_cwd").alias("cwd"),
         F.when(e % 4 == 0, F.lit("execve procFS")).otherwise(F.lit("clone")).alias("flags"),
@@ -365,7 +414,7 @@ _OUT = f"({_BAD} OR row_idx % 31 = 3 OR row_idx % 19 = 7 OR row_idx % 23 = 5)"
     f"CASE WHEN kprobe_function_name = 'udp_sendmsg' THEN row_idx END AS kp_msg_length, CASE WHEN event_type = 'process_exit' THEN 3::BIGINT END AS exit_status, event_type = 'process_exec' AND row_idx % 4 = 0 AS procfs FROM telemetry WHERE NOT {_OUT}"
 )
 def q_parse_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = jsonl.parse_events(_json_lines(spark, sf_dir))
+    raw = jsonl.parse_events(_json_lines(spark, sf_dir), jsonl.ParserConfig([_INUM]))
     return raw.select(
         F.col("_source_line").alias("source_line"), "event_type", "event_time", "proc_exec_id", "proc_pid", "proc_uid", "kprobe_function_name", "kp_fd_install_path", "kp_fd_install_fd",
         "kp_sock_daddr", "kp_sock_dport", "kp_msg_length", "exit_status", F.col("proc_is_procfs_walk").alias("procfs"),
@@ -388,7 +437,7 @@ _GOOD = f"NOT ({_BAD})"
     _counted("tagged_procfs_walk_execs", f"NOT {_OUT} AND event_type = 'process_exec' AND row_idx % 4 = 0"), _counted("unparseable_event_time", "false"),
 ]))
 def q_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonl.counters(_json_lines(spark, sf_dir))
+    return jsonl.counters(_json_lines(spark, sf_dir), jsonl.ParserConfig([_INUM]))
 
 
 # ---- lineage
@@ -579,7 +628,7 @@ def q_technique_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = metrics.bootstrap_auroc(order.cut(histogram(spark, sf_dir)), 200)
+    low, high = metrics.bootstrap_auroc(order.cut(histogram(spark, sf_dir)))
     return spark.createDataFrame([(low, high)], "low double, high double")
 
 
@@ -617,12 +666,17 @@ def q_validation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("part", F.lit("train")).union(c.withColumn("part", F.lit("validation")))
 
 
-@query()
+@query("SELECT row_idx FROM telemetry ORDER BY CAST('0x' || substr(md5('42:' || row_idx), 1, 15) AS BIGINT), row_idx LIMIT 200")
 def q_uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.sample_rows(tel(spark, sf_dir).select("row_idx"), 200, in_order=True)
 
 
-@query()
+_STEP = "((SELECT count(*) FROM telemetry) - 1) / 99.0::DOUBLE"
+
+
+@query(
+    f"SELECT row_idx FROM telemetry WHERE (SELECT count(*) FROM telemetry) <= 100 OR (round(row_idx / ({_STEP})) < 100 AND floor(round(row_idx / ({_STEP})) * ({_STEP})) = row_idx)"
+)
 def q_evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.evenly_spaced(tel(spark, sf_dir).select("row_idx"), n_rows(spark, sf_dir), 100)
 
@@ -677,10 +731,16 @@ def q_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(t, ngram.fit(t)).select("row_idx", "level", F.round("nll", 6).alias("nll"))
 
 
-@query()
+_NG_RATES = ", ".join(f"round(avg((level = '{x}')::INT), 6) AS {x}_rate" for x in ("trigram", "bigram", "unigram"))
+
+
+@query(
+    _NG.replace("SELECT row_idx, level, round(-ln(p), 6) AS nll FROM (", f"SELECT count(*) AS n, round(exp(avg(-ln(p))), 6) AS perplexity, {_NG_RATES} FROM (", 1), (*LABELS, "seq", "bseq")
+)
 def q_ngram_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = order.cut(_tokens(spark, sf_dir))
-    return ngram.diagnostics(ngram.score(t, ngram.fit(t)))
+    got = ngram.diagnostics(ngram.score(t, ngram.fit(t)))
+    return got.select("n", *[F.round(c, 6).alias(c) for c in got.columns if c != "n"])
 
 
 # ---- models
@@ -694,13 +754,13 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _model_rows(spark, sf_dir)
-    return forest.score(t, forest.fit(t, schema.model_columns("rich"), trees=50)).select("row_idx", "score")
+    return forest.score(t, forest.fit(t, schema.model_columns("rich"))).select("row_idx", "score")
 
 
 @query()
 def q_iforest_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _model_rows(spark, sf_dir)
-    return forest.score(t, forest.fit(t, schema.model_columns("flat"), trees=50)).select("row_idx", "score")
+    return forest.score(t, forest.fit(t, schema.model_columns("flat"))).select("row_idx", "score")
 
 
 @query()
@@ -751,11 +811,9 @@ def q_nll_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_idx, CASE WHEN d < 0 THEN 0 ELSE d END AS delta_t_prev_ns FROM (SELECT row_idx, event_time - lag(event_time) OVER (PARTITION BY proc_exec_id ORDER BY row_idx) AS d FROM telemetry)")
 def q_stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The telemetry written as files and read again as a stream until it is used up."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spoor-stream-")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{order.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     given = tel(spark, sf_dir).select("row_idx", "proc_exec_id", "event_time")
     tables.write_table(given, f"{base}/in")
     source = spark.readStream.schema(given.schema).parquet(f"{base}/in")
@@ -767,10 +825,8 @@ def q_stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT proc_exec_id, count(*) AS n, max(event_time) AS last_time FROM telemetry GROUP BY proc_exec_id")
 def q_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written and read again through the table sink and source."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spoor-table-")
-    path = f"{root}/table-{uuid.uuid4().hex}"
+    path = f"{order.shared_folder(spark)}/table-{uuid.uuid4().hex}"
     tables.write_table(tel(spark, sf_dir).select("row_idx", "proc_exec_id", "event_time"), path)
     return tables.read_events(spark, path).groupBy("proc_exec_id").agg(F.count("*").alias("n"), F.max("event_time").alias("last_time"))

@@ -8,6 +8,7 @@ outside the monitored containers, inside a sentinel interval.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +29,10 @@ DROPS = [
 class ParserConfig:
     """Settings of the parser; a sentinel interval is (start, end, reason) in RFC 3339 and closed at both ends."""
 
-    target_pid_ns_inums: list[int] = field(default_factory=lambda: list(vocab.DEFAULT_INUMS))
+    target_pid_ns_inums: list[int] = field(default_factory=list)
     node_name: str = "unknown"
     parser_version: str = "1"
-    sentinel_intervals: list[tuple[str, str, str]] = field(default_factory=lambda: list(vocab.DEFAULT_SENTINELS))
+    sentinel_intervals: list[tuple[str, str, str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.bounds_ns = [(_time_ns(a), _time_ns(b)) for a, b, _ in self.sentinel_intervals]
@@ -44,7 +45,7 @@ class ParserConfig:
         inums = given.get("target_pid_ns_inums")
         if inums is None:
             one = given.get("target_pid_ns_inum")
-            inums = vocab.DEFAULT_INUMS if one is None else [one]
+            inums = [] if one is None else [one]
         return cls([int(x) for x in inums], node_name=str(given.get("host_id", "unknown")))
 
 
@@ -107,7 +108,7 @@ def _process(p: Column, prefix: str, walks: Column) -> dict[str, Column]:
 
 def _empty(p: Column) -> Column:
     """Missing, or an object without any known key."""
-    return p.isNull() | (F.to_json(p) == "{}")
+    return p.isNull() | reduce(lambda a, b: a & b, [p[f].isNull() for f in schema.PROCESS_KEYS])
 
 
 def _arguments(fn: Column, args: Column) -> dict[str, Column]:

@@ -108,6 +108,9 @@ def raw_schema() -> T.StructType:
     return T._parse_datatype_string(", ".join(f"`{c}` {t}" for c, t in RAW_COLUMNS))
 
 
+PROCESS_KEYS = [
+    "exec_id", "parent_exec_id", "pid", "tid", "uid", "auid", "binary", "arguments", "cwd", "flags", "start_time", "in_init_tree", "refcnt", "cap", "ns", "process_credentials",
+]
 _PROC_JSON = (
     "struct<exec_id:string,parent_exec_id:string,pid:string,tid:string,uid:string,auid:string,binary:string,arguments:string,cwd:string,flags:string,"
     "start_time:string,in_init_tree:string,refcnt:string,cap:struct<" + ",".join(f"{c}:array<string>" for c in CAPABILITIES) + ">,ns:struct<"

@@ -43,7 +43,7 @@ def walk(parents, node):
             return 15, cur, True
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_ancestors_match_a_walk(spark, seed):
     r = random.Random(seed)
     parents = {"b": "a", "c": "b", "a": None, "x": "y", "y": "x", "z": "z", "q": "gone"}

@@ -81,7 +81,7 @@ def test_token(spark):
 def test_entropy(spark):
     r = random.Random(1)
     texts = ["abcd", "-la", "-c 'echo hello world'", "aaa", "ab" * 700, "🙂é" * 3, *["".join(r.choice("abcdé🙂 x") for _ in range(r.randint(1, 80))) for _ in range(50)]]
-    got = spark.createDataFrame([(t,) for t in [*texts, "", None]], "x string").select("x", s.entropy("x").alias("h"), s.entropy_bucket(s.entropy("x")).alias("b")).collect()
+    got = spark.createDataFrame([(t,) for t in [*texts, "", None]], "x string").select("x", py.entropy("x").alias("h"), s.entropy_bucket(py.entropy("x")).alias("b")).collect()
     for row in got:
         if not row["x"]:
             assert row["h"] is None and row["b"] == 0
