@@ -142,6 +142,21 @@ def test_licences(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_whole_licence_texts_in_other_guises(spark):
+    """Every known text, re-wrapped, in capitals, with other punctuation and copyright lines, is found as a whole; changed by a word it is not."""
+    rows, want, changed = [], {}, []
+    for k, (name, text) in enumerate(licenses.KNOWN):
+        w = text.replace("-", " - ").split()
+        guise = "Copyright 1999 Some One\n(c) 2001 Another One. All rights reserved.\n\n" + "\n * ".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)).upper()
+        rows += [(2 * k, guise.replace(",", " ;"), "x"), (2 * k + 1, text + " indeed", "x")]
+        want[2 * k] = name
+    table = spark.createDataFrame([("Own-1.0", "Take this, and\ndo as you like."), ("Own-1.0", ""), ("Late", licenses.KNOWN[0][1])], "license string, text string")
+    rows += [(1000, "TAKE THIS AND DO - as you like", "x"), (1001, None, "x"), (1002, "w " * 200_000, "x")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, digest string"), more=table).collect()}
+    assert {k: got[k] for k in want} == want and got[1000] == "Own-1.0"
+    assert all(got[2 * k + 1] is None for k in range(len(licenses.KNOWN))) and got[1001] is got[1002] is None
+
+
 def test_classifier_learns_and_never_sees_held_out_labels(spark, empty):
     r = random.Random(4)
     rows, labels = [], []
