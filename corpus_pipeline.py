@@ -7,7 +7,6 @@ one's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoor.llm import line_dedup, mixing, packing, quality_rules, similar
+from spoor.llm.common import shared_folder
 
 _NULL_ID = -(1 << 63)
 #: Documents packed together: four periods of the mixing schedule.
@@ -105,8 +105,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the session's shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spoor-pipeline-")
-    root = f"{shared}/spoor-pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/spoor-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
