@@ -3,8 +3,9 @@
 Document statistics are standardised and mapped to random Fourier features, whose
 inner products approximate a Gaussian kernel. Every partition sums its
 part of the normal equations; the sums, of fixed size, are added in two steps and solved on the
-driver. Ridge scores are counted on a fixed grid with their labels, and pooling
-adjacent violators on that grid makes them calibrated probabilities.
+driver. Sums are kept per fold, so that each training row can be scored by the model of the other folds. These
+ridge scores are counted on a fixed grid with their labels, and pooling adjacent violators on that grid makes
+calibrated probabilities of the scores of the model of all folds.
 
 All labelled rows outside the held-out fold are used. Labels, languages, sources and ids are never inputs of a score.
 
@@ -33,7 +34,7 @@ GAMMA = 0.02  # of the kernel exp(-gamma * |x - y|^2) on standardised statistics
 RIDGE = 1e-5
 GRID = 2048
 SEED = 20240
-_STEPS = 16  # partial sums that reach the driver
+_STEPS = 4  # partial sums per fold that reach the driver
 _PUNCT = b".,;:?!'\"()-"
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -81,20 +82,21 @@ def _sums(mean: np.ndarray, scale: np.ndarray):
     d = FEATURES + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, c = np.zeros((d, d)), np.zeros(d)
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if len(batch):
-                z = _features(np.stack(batch["x"].to_numpy()), mean, scale)
+            for fold, rows in batch.groupby("fold"):
+                a, c = sums.setdefault(int(fold), (np.zeros((d, d)), np.zeros(d)))
+                z = _features(np.stack(rows["x"].to_numpy()), mean, scale)
                 a += z.T @ z
-                c += z.T @ batch["y"].to_numpy(dtype=float)
-        yield pd.DataFrame({"s": [np.concatenate([a.ravel(), c]).tobytes()]})
+                c += z.T @ rows["y"].to_numpy(dtype=float)
+        yield pd.DataFrame({"fold": list(sums), "s": [np.concatenate([a.ravel(), c]).tobytes() for a, c in sums.values()]}).astype({"fold": "int32"})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = np.zeros(d * d + d)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for blob in batch["s"]:
-                s += np.frombuffer(blob)
-        yield pd.DataFrame({"s": [s.tobytes()]})
+            for fold, blob in zip(batch["fold"], batch["s"], strict=True):
+                sums[fold] = sums.get(fold, 0.0) + np.frombuffer(blob)
+        yield pd.DataFrame({"fold": list(sums), "s": [s.tobytes() for s in sums.values()]}).astype({"fold": "int32"})
 
     return run, add
 
@@ -131,7 +133,7 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model:
-    """Fits on materialised rows ``x`` (array of double) and ``y`` (0 or 1)."""
+    """Fits on materialised rows ``x`` (array of double), ``y`` (0 or 1) and ``fold`` (int)."""
     k = len(NAMES)
     parts = [f(F.col("x")[i]).alias(f"{f.__name__}{i}") for i in range(k) for f in (F.avg, F.stddev_pop)]
     got = train.agg(F.count("*").alias("n"), *parts).head()
@@ -141,15 +143,23 @@ def fit(train: DataFrame) -> Model:
     if not got["n"]:
         return Model(mean, scale, None)
     run, add = _sums(mean, scale)
-    summed = train.mapInPandas(run, "s binary").repartition(_STEPS).mapInPandas(add, "s binary").collect()
-    s = sum(np.frombuffer(r["s"]) for r in summed)
-    d = FEATURES + 1
-    model = Model(mean, scale, np.linalg.solve(s[: d * d].reshape(d, d) + RIDGE * got["n"] * np.eye(d), s[d * d :]))
+    summed = train.mapInPandas(run, "fold int, s binary").repartition(_STEPS).mapInPandas(add, "fold int, s binary").collect()
+    per_fold: dict[int, np.ndarray] = {}
+    for r in summed:  # a few rows per fold
+        per_fold[r["fold"]] = per_fold.get(r["fold"], 0.0) + np.frombuffer(r["s"])
+    d, whole = FEATURES + 1, sum(per_fold.values())
+
+    def solved(s: np.ndarray) -> Model:
+        rows = max(s[0], 1.0)  # the constant feature counts them
+        return Model(mean, scale, np.linalg.solve(s[: d * d].reshape(d, d) + RIDGE * rows * np.eye(d), s[d * d :]))
+
+    model = solved(whole)
+    others = {k: solved(whole - s) if len(per_fold) > 1 else model for k, s in per_fold.items()}
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"cell": model.cell(np.stack(batch["x"].to_numpy())), "y": batch["y"]})
+            for fold, rows in batch.groupby("fold"):
+                yield pd.DataFrame({"cell": others[int(fold)].cell(np.stack(rows["x"].to_numpy())), "y": rows["y"]})
 
     grid = train.mapInPandas(cells, "cell int, y int").groupBy("cell").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("cell").collect()
     n, ones = np.array([r["n"] for r in grid], float), np.array([r["ones"] for r in grid], float)
@@ -166,10 +176,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         return pd.Series([statistics(t) for t in texts])
 
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    out = (F.crc32(key) % folds) == held
-    given = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), out.alias("held_out"), stats(F.col(f"`{text}`")).alias("x")))
+    fold = (F.crc32(key) % folds).cast("int")
+    given = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fold.alias("fold"), (fold == held).alias("held_out"), stats(F.col(f"`{text}`")).alias("x")))
     y = labels.where(F.col(label).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    model = fit(materialize(given.where("not held_out").join(y, "doc_id").select("x", "y")))
+    model = fit(materialize(given.where("not held_out").join(y, "doc_id").select("x", "y", "fold")))
 
     @F.pandas_udf("double")
     def scored(xs: pd.Series) -> pd.Series:
