@@ -115,8 +115,8 @@ def verified(groups: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFram
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t).view(np.int64) for t in texts])
 
-    texts = docs.select("node", "text").join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    found = stored(groups.join(texts.select("node", sets("text").alias("shingles")), "node"))
+    texts = docs.select("node", "text").dropDuplicates(["node"])  # once per partition before any shuffle, however many copies there are
+    found = stored(groups.join(texts, "node").select("node", "component", sets("text").alias("shingles")))
     sized = found.join(found.groupBy("component").agg(F.sum(F.size("shingles")).alias("n")), "component")
     members = sized.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # part i against each later part j; within a part, each text against those before it
