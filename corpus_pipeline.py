@@ -54,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     keyed = _rows(docs, "doc_id", "text").withColumns({"_k": F.coalesce("doc_id", F.lit(_NULL_ID)), "_t": similar.node(F.col("text"))})
     found = similar.similar(keyed.select(F.col("_t").alias("node"), "text"))
-    group = keyed.select("_k", "_t").join(found, F.col("_t") == F.col("node"), "left").withColumn("_g", F.coalesce("component", "_t"))
+    each = keyed.groupBy("_t").agg(F.min("_k").alias("_k"))  # a row per text, so copies do not meet in one task
+    group = each.join(found, F.col("_t") == F.col("node"), "left").withColumn("_g", F.coalesce("component", "_t"))
     first = group.groupBy("_g").agg(F.min(F.struct("_k", "_t")).alias("m")).select("m._k", "m._t")
     once = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("text"))
     kept = keyed.join(first, ["_k", "_t"], "left_semi").withColumn("_n", once).where("_n = 1")
