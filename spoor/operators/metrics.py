@@ -141,6 +141,12 @@ def nll_summary(df: DataFrame, nll: str = "nll", correct: str | None = None) ->
     return df.agg(*cols, *([F.avg(F.col(correct).cast("double")).alias("accuracy")] if correct else []))
 
 
+def mean_loss(df: DataFrame, loss: str = "loss", mask: str | None = None) -> DataFrame:
+    """``n, mean_loss`` over all places, or over the masked ones; 0 if there are none."""
+    rows = df.where(mask) if mask else df
+    return rows.agg(F.count(loss).alias("n"), (F.coalesce(F.sum(loss), F.lit(0.0)) / F.greatest(F.count(loss), F.lit(1))).alias("mean_loss"))
+
+
 def masked_summary(df: DataFrame, loss: str = "loss", mask: str = "mask", family: str = "f_action_family") -> DataFrame:
     """Mean loss at masked places per action family; the code past the vocabulary is named OOV."""
     from spoor.functions.vocab import ACTION_FAMILIES

@@ -111,3 +111,21 @@ def lagged(df: DataFrame, key: str, order: list[str], value: str, k: int = 1, pr
         out[f"{prefix}{j}"] = F.when(F.col(key).isNotNull(), c)
     extra = ["_part", "_at", "_pos", "_p", "_key", "_have", *[f"_lag{j}" for j in range(1, k + 1)], *[f"_c{j}" for j in range(1, k + 1)]]
     return joined.withColumns(out).drop(*extra)
+
+
+def place_in_group(df: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with its 0-based place among the rows of its ``key`` in ``order``; rows with a null key are one group.
+
+    A key may span partitions: what its rows before a partition add comes from one small row per partition."""
+    run = Window.partitionBy("_part", key).orderBy("_at")
+    local = in_order(df, key, *order).withColumn("_pos", F.row_number().over(run))
+    ends = local.groupBy("_part").agg(F.min_by(key, "_at").alias("first"), F.max_by(key, "_at").alias("last"), F.max_by("_pos", "_at").alias("n"))
+    given, before = [], None
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        carry = before["n"] if before and before["last"] == r["first"] else 0
+        if carry:
+            given.append((r["_part"], r["first"], carry))
+        before = {"last": r["last"], "n": r["n"] + (carry if r["first"] == r["last"] else 0)}
+    small = F.broadcast(df.sparkSession.createDataFrame(given, f"_p int, _key {df.schema[key].dataType.simpleString()}, _carry long"))
+    joined = local.join(small, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(name, F.col("_pos") - 1 + F.coalesce("_carry", F.lit(0))).drop("_part", "_at", "_pos", "_p", "_key", "_carry")

@@ -9,7 +9,7 @@ Training is not part of this package.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -185,6 +185,13 @@ def score_windows(windows: DataFrame, w: Weights, objective: str = "mem-fa", fea
     return windows.select("window_idx", *columns).mapInPandas(run, "window_idx long, pos int, score float")
 
 
+def scorer(objective: str, w: Weights, feature_set: str = "rich", mode: str = "all", **kw) -> Callable[[DataFrame], DataFrame]:
+    """What scores windows by one of the objectives ``nll``, ``mem`` and ``mem-fa``."""
+    if objective not in ("nll", "mem", "mem-fa"):
+        raise ValueError(f"no such objective: {objective!r}")
+    return lambda windows: score_windows(windows, w, objective, feature_set, mode, **kw)
+
+
 def window_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of (window_idx, pos, columns) to one row per window with an array per column, in order of place."""
     got = df.groupBy("window_idx").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_r"))

@@ -655,6 +655,12 @@ def q_nll_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sampling and order
 
 
+@query("SELECT row_idx, row_number() OVER (PARTITION BY proc_exec_id ORDER BY event_time, row_idx) - 1 AS place FROM telemetry")
+def q_place_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tel(spark, sf_dir).select("row_idx", "event_time", "proc_exec_id")
+    return order.place_in_group(t, "proc_exec_id", ["event_time", "row_idx"]).select("row_idx", F.col("place").cast("bigint").alias("place"))
+
+
 @query("SELECT row_idx, event_time FROM telemetry ORDER BY event_time, row_idx LIMIT 500")
 def q_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tel(spark, sf_dir).select("row_idx", "event_time").orderBy("event_time", "row_idx").limit(500)
@@ -766,14 +772,7 @@ def q_iforest_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _model_rows(spark, sf_dir)
-    return boosted.fit(t, schema.model_columns("flat"), maxIter=5, maxDepth=3).score(t).select("row_idx", "score")
-
-
-@query()
-def q_loocv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _model_rows(spark, sf_dir)
-    got = boosted.held_out_trials(t.where("trial_idx < 0"), t, schema.model_columns("flat"), [0, 1], maxIter=2, maxDepth=2)
-    return metrics.stitch_folds(got.where("trial_idx < 2")).select("row_idx", "is_attack", "trial_idx", "score")
+    return boosted.fit(t, schema.model_columns("flat")).score(t).select("row_idx", "score")
 
 
 def _network(spark: SparkSession, sf_dir: str, objective: str, mode: str = "all") -> tuple[DataFrame, DataFrame]:

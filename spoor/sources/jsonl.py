@@ -75,6 +75,20 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.join(starts, ["_path", "_block"]).select("value", "_source_file", (F.col("_n") + F.col("_shift")).alias("_source_line"))
 
 
+def file_counters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``counter, n``: files that hold bytes (``files_read``; readers skip empty ones), lines in them, and those that give no line (``files_failed``).
+
+    A file that is damaged further on counts as read, with the lines before the damage."""
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    lines = reader.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
+    n = F.coalesce("lines", F.lit(0))
+    tests = {"files_read": F.count("*"), "files_failed": F.count_if(n == 0), "lines_read": F.coalesce(F.sum(n), F.lit(0))}
+    sums = found.join(lines, "path", "left").agg(*[c.cast("bigint").alias(k) for k, c in tests.items()])
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).alias("n")) for k in tests]))
+    return sums.select(pairs.alias("p")).select("p.counter", "p.n")
+
+
 def _truthy(c: Column) -> Column:
     return F.coalesce(~F.lower(c).isin("false", "0", "", "0.0"), F.lit(False))
 

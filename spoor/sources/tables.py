@@ -10,12 +10,18 @@ from spoor.operators.order import with_row_index
 from spoor.sources import schema
 
 
-def read_events(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """Parquet files of events; nanosecond timestamps as bigint, microseconds turned into nanoseconds, ``__`` columns dropped."""
+def read_events(spark: SparkSession, paths: str | list[str], recursive: bool = False, source: str | None = None) -> DataFrame:
+    """Parquet files of events; nanosecond timestamps as bigint, microseconds turned into nanoseconds, ``__`` columns dropped.
+
+    With ``source``, a folder, ``source_path`` holds the path of each row's file below it."""
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
-    return normal_times(df.drop(*[c for c in df.columns if c.startswith("__")]))
+    kept = df.drop(*[c for c in df.columns if c.startswith("__")])
+    if source is not None:
+        below = F.substring_index("_metadata.file_path", f"{source.rstrip('/')}/", -1)
+        kept = kept.withColumn("source_path", F.regexp_replace(below, r"\.parquet$", ""))
+    return normal_times(kept)
 
 
 def normal_times(df: DataFrame) -> DataFrame:

@@ -26,5 +26,8 @@ def test_logs_to_evaluation(spark, tmp_path):
     out.mkdir()
     main(["evaluate", "--model", "ngram", "--train", table, "--test", table, "--labels", str(tmp_path / "labels.csv"), "--output", str(out)])
     e = json.loads((out / "evaluation.json").read_text())
+    (tmp_path / "loocv").mkdir()
+    main(["loocv", "--train", table, "--test", table, "--labels", str(tmp_path / "labels.csv"), "--output", str(tmp_path / "loocv"), "--rounds", "2", "--depth", "2"])
+    assert spark.read.parquet(str(tmp_path / "loocv" / "scores")).count() == 400
     assert e["n_attack"] == 60 and e["n_events"] == 400 and e["auroc"] > 0.9 and e["auroc_ci_low"] <= e["auroc"] <= e["auroc_ci_high"]
     assert spark.read.parquet(str(out / "scores")).columns == ["event_time", "score", "is_attack", "technique_id"]

@@ -227,6 +227,52 @@ def test_boosted_degenerate_and_fit(spark):
     assert {r["score"] for r in boosted.fit(d.where("not is_attack"), ["a"]).score(d).collect()} == {0.5}
 
 
+def test_boosted_is_saved_and_read(spark, tmp_path):
+    d = spark.createDataFrame([(i, float(i % 7), i % 7 > 4) for i in range(300)], "row_idx long, a double, is_attack boolean")
+    for k, rows in enumerate((d, d.where("not is_attack"))):
+        m = boosted.fit(rows, ["a"], maxIter=3, maxDepth=2)
+        m.save(spark, str(tmp_path / str(k)))
+        again = boosted.BoostedModel.load(spark, str(tmp_path / str(k)))
+        assert again.columns == ["a"] and (again.model is None) == (k == 1)
+        assert [r["score"] for r in again.score(d).orderBy("row_idx").collect()] == [r["score"] for r in m.score(d).orderBy("row_idx").collect()]
+
+
+def test_every_trial_is_held_out(spark):
+    # trial 3's attacks are like no other trial's, so the fold that has not seen them scores them low
+    rows = [(i, float(i % 5), -1) for i in range(60)] + [(60 + i, 9.0, t) for t in (1, 2) for i in range(t, t + 20, 2)] + [(100 + i, -9.0, 3) for i in range(10)]
+    d = spark.createDataFrame([(k, a, t >= 0, t) for k, (_, a, t) in enumerate(rows)], "row_idx long, a double, is_attack boolean, trial_idx int")
+    folds = boosted.held_out_trials(d.where("not is_attack"), d, ["a"], maxIter=10, maxDepth=2, subsamplingRate=1.0, featureSubsetStrategy="all")
+    assert {r["fold"]: r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()} == dict.fromkeys((1, 2, 3), len(rows))
+    got = metrics.stitch_folds(folds).collect()
+    assert len(got) == len(rows)
+    score = {t: [r["score"] for r in got if r["trial_idx"] == t] for t in (-1, 1, 2, 3)}
+    assert min(score[1] + score[2]) > 0.5 > max(score[3])
+    per_fold = {(r["row_idx"], r["fold"]): r["score"] for r in folds.collect()}
+    for r in got:
+        want = per_fold[r["row_idx"], r["trial_idx"]] if r["is_attack"] else sum(per_fold[r["row_idx"], k] for k in (1, 2, 3)) / 3
+        assert abs(r["score"] - want) < 1e-9
+
+
+def test_place_in_group(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, None if x == 9 else f"p{x if x < 4 else 0}", int(r.integers(50))) for k, x in enumerate(r.integers(10, size=3000).tolist())]
+    d = spark.createDataFrame(rows, "row_idx long, key string, t long").repartition(7)
+    got = {x["row_idx"]: x["place"] for x in order.place_in_group(d, "key", ["t", "row_idx"]).collect()}
+    seen = {}
+    for i, key, _ in sorted(rows, key=lambda x: (x[2], x[0])):
+        assert got[i] == seen.get(key, 0)
+        seen[key] = seen.get(key, 0) + 1
+    assert order.place_in_group(d.limit(0), "key", ["t"]).count() == 0
+
+
+def test_mean_loss(spark):
+    d = spark.createDataFrame([(1.0, True), (3.0, True), (8.0, False)], "loss double, mask boolean")
+    assert [tuple(x) for m in (None, "mask") for x in metrics.mean_loss(d, mask=m).collect()] == [(3, 4.0), (2, 2.0)]
+    assert tuple(metrics.mean_loss(d.limit(0)).head()) == (0, 0.0)
+    with pytest.raises(ValueError):
+        seqnet.scorer("other", None)
+
+
 def test_scan_matches_the_recurrence():
     r = np.random.default_rng(0)
     u, dt, a, b, c = r.normal(size=(2, 5, 3)), r.random((2, 5, 3)), -r.random((3, 4)), r.normal(size=(2, 5, 4)), r.normal(size=(2, 5, 4))

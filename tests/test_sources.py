@@ -74,6 +74,25 @@ def test_files_and_line_numbers(spark, tmp_path):
     assert got[("a.json", 1)] == "line 1" and got[("a.json", 50)] == "line 50" and got[("b.json.gz", 2)] == "two" and len(got) == 52
 
 
+def test_files_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text("1\n\n3\n")
+    (tmp_path / "b.json").write_text("")
+    (tmp_path / "c.json.gz").write_bytes(b"not gzip at all")
+    with gzip.open(tmp_path / "d.json.gz", "wt") as z:
+        z.write("one\ntwo\n")
+    got = {r["counter"]: r["n"] for r in jsonl.file_counters(spark, str(tmp_path)).collect()}
+    assert got == {"files_read": 3, "files_failed": 1, "lines_read": 5}
+
+
+def test_paths_of_the_input_are_kept(spark, tmp_path):
+    for name in ("x/1", "x/2", "y/1"):
+        spark.range(3).write.parquet(str(tmp_path / "in" / name))
+    got = tables.read_events(spark, str(tmp_path / "in"), recursive=True, source=str(tmp_path / "in"))
+    tables.write_table(got, str(tmp_path / "out"), partition=["source_path"])
+    paths = [r["source_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(paths) == 9 and {p.rsplit("/", 1)[0] for p in paths} == {"x/1", "x/2", "y/1"}
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("target_pid_ns_inum: 12\nhost_id: h\n")
     c = jsonl.ParserConfig.from_yaml(tmp_path / "c.yaml")
