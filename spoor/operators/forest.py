@@ -110,7 +110,7 @@ def grow(x: np.ndarray, columns: list[str], trees: int = TREES, sample: int = SA
 
 
 def fit(df: DataFrame, columns: list[str], label: str | None = "is_attack", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, index: str = "row_idx") -> Forest:
-    """Grown on a sample of benign rows of at most ``trees * sample``."""
+    """Grown on a sample of benign rows of at most ``trees * sample``; of all rows where ``label`` is None."""
     benign = df.where(~F.col(label)) if label else df
     pool = sample_rows(benign, min(trees * sample, MAX_ROWS), seed, index).select(*[F.col(c).cast("double") for c in columns]).toPandas()
     if pool.empty:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -757,10 +758,17 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.cut(features.build_behaviour(t, ["row_idx"], keep=("row_idx",)).join(t.select(F.col("row_idx").alias("_i"), "is_attack", "technique_id", "trial_idx"), F.col("row_idx") == F.col("_i")).drop("_i"))
 
 
+def _forest_scores(t: DataFrame, feature_set: str) -> DataFrame:
+    """Scores of a forest grown on benign rows. Labels of a table without any tell nothing apart: it is taken as unlabelled, with a warning."""
+    label = "is_attack" if t.where("NOT is_attack").head(1) else None
+    if label is None:
+        warnings.warn("no benign rows: the forest is grown on a sample of all rows", stacklevel=2)
+    return forest.score(t, forest.fit(t, schema.model_columns(feature_set), label)).select("row_idx", "score")
+
+
 @query()
 def q_iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _model_rows(spark, sf_dir)
-    return forest.score(t, forest.fit(t, schema.model_columns("rich"))).select("row_idx", "score")
+    return _forest_scores(_model_rows(spark, sf_dir), "rich")
 
 
 @query()
