@@ -30,6 +30,15 @@ def _totals() -> tuple[Column, Column]:
     return F.sum("pos").cast("double"), F.sum("neg").cast("double")
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """``part / whole``; NaN of nothing, as in the SQL, where Spark's division raises."""
+    return F.when(whole != 0, part / whole).otherwise(F.when(whole == 0, F.lit(float("nan"))))
+
+
+def _rates() -> tuple[Column, Column]:
+    return _share(F.col("fp"), F.col("_n")).alias("fpr"), _share(F.col("tp"), F.col("_p")).alias("tpr")
+
+
 def auroc(histogram: DataFrame) -> DataFrame:
     """One row ``n_pos, n_neg, auroc``; null if a class is missing."""
     p, n = _totals()
@@ -46,22 +55,22 @@ def average_precision(histogram: DataFrame) -> DataFrame:
 
 
 def roc_vertices(histogram: DataFrame) -> DataFrame:
-    """``fpr, tpr`` of the ROC curve from (0, 0), without points on a straight line between their neighbours."""
+    """``fpr, tpr`` of the ROC curve from (0, 0), without points on a straight line between their neighbours; the rate of a missing class is NaN."""
     after = histogram.select((F.col("rank") - 1).alias("_rank"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
     joined = histogram.join(after, F.col("rank") == F.col("_rank"), "left")
     bends = F.col("_rank").isNull() | (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))
     totals = histogram.agg(F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"))
-    kept = joined.where(bends).crossJoin(F.broadcast(totals)).select((F.col("fp") / F.col("_n")).alias("fpr"), (F.col("tp") / F.col("_p")).alias("tpr"))
+    kept = joined.where(bends).crossJoin(F.broadcast(totals)).select(*_rates())
     return kept.unionByName(totals.select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def tpr_at_fpr(histogram: DataFrame, targets: list[float] = (0.01, 0.05), vertices_only: bool = True) -> DataFrame:
-    """``fpr_target, tpr``: the highest true positive rate of a kept ROC vertex (or any point) within each target."""
+    """``fpr_target, tpr``: the highest true positive rate of a kept ROC vertex (or any point) within each target; 0 if none is, as without negatives."""
     if vertices_only:
         curve = roc_vertices(histogram)
     else:
         totals = histogram.agg(F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"))
-        curve = histogram.crossJoin(F.broadcast(totals)).select((F.col("fp") / F.col("_n")).alias("fpr"), (F.col("tp") / F.col("_p")).alias("tpr"))
+        curve = histogram.crossJoin(F.broadcast(totals)).select(*_rates())
     wide = curve.agg(*[F.coalesce(F.max(F.when(F.col("fpr") <= t, F.col("tpr"))), F.lit(0.0)).alias(f"t{k}") for k, t in enumerate(targets)])
     pairs = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("fpr_target"), F.col(f"t{k}").alias("tpr")) for k, t in enumerate(targets)]))
     return wide.select(pairs.alias("p")).select("p.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.operators import forest
+from spoor.operators import forest, metrics
 from spoor.plans import queries
 from spoor.sources import schema
 
@@ -34,3 +34,24 @@ def test_forest_without_benign_rows_scores_every_row(spark, attacked, name, feat
     assert [got[k] for k in range(N)] == pytest.approx(want.tolist(), rel=1e-6)
     with pytest.raises(ValueError, match="no benign rows"):  # who asks for benign rows gets no others
         forest.fit(rows.withColumn("is_attack", F.lit(True)), columns)
+
+
+def twin(name, d):
+    """Rows of a query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
+        return sorted(c.execute(queries.SQL[name]).fetchall())
+
+
+def test_true_positive_rates_without_benign_rows(spark, attacked):
+    got = sorted(tuple(r) for r in queries.QUERIES["q_tpr_at_fpr"](spark, attacked).collect())
+    assert got == [(0.01, 0.0), (0.05, 0.0), (0.3, 0.0)] == twin("q_tpr_at_fpr", attacked)
+
+
+@pytest.mark.parametrize("vertices_only", [True, False])
+def test_true_positive_rates_of_one_class(spark, vertices_only):
+    found = lambda label: metrics.tpr_at_fpr(metrics.score_histogram(spark.createDataFrame([(k % 5 / 5, label) for k in range(40)], "score double, is_attack boolean")), [0.0, 1.0], vertices_only).collect()
+    assert [r["tpr"] for r in found(True)] == [0.0, 0.0]
+    none, every = (r["tpr"] for r in found(False))
+    assert none == 0.0 and np.isnan(every)
