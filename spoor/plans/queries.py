@@ -773,8 +773,7 @@ def q_iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_iforest_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _model_rows(spark, sf_dir)
-    return forest.score(t, forest.fit(t, schema.model_columns("flat"))).select("row_idx", "score")
+    return _forest_scores(_model_rows(spark, sf_dir), "flat")
 
 
 @query()

@@ -22,7 +22,7 @@ def attacked(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize(("name", "feature_set"), [("q_iforest", "rich")])
+@pytest.mark.parametrize(("name", "feature_set"), [("q_iforest", "rich"), ("q_iforest_flat", "flat")])
 def test_forest_without_benign_rows_scores_every_row(spark, attacked, name, feature_set):
     with pytest.warns(UserWarning, match="no benign rows"):
         got = {r["row_idx"]: r["score"] for r in queries.QUERIES[name](spark, attacked).collect()}
