@@ -79,12 +79,12 @@ def tpr_at_fpr(histogram: DataFrame, targets: list[float] = (0.01, 0.05), vertic
 def per_technique_auroc(
     df: DataFrame, score: str = "score", label: str = "is_attack", technique: str = "technique_id", min_events: int = MIN_ATTACK_EVENTS, histogram: DataFrame | None = None
 ) -> DataFrame:
-    """``technique_id, n_attack, auroc, skipped``: each technique's rows against all benign ones; null if it has too few."""
+    """``technique_id, n_attack, auroc, skipped``: each technique's rows against all benign ones; null if it has too few, NaN without benign rows."""
     hist = score_histogram(df, score, label) if histogram is None else histogram
     attacks = df.where(F.col(label)).groupBy(F.col(technique).alias("technique_id"), F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("k"))
     n = hist.agg(F.sum("neg").cast("double").alias("_n"))
     joined = attacks.join(hist.select("score", "neg", "fp"), F.col("_s") == F.col("score")).crossJoin(F.broadcast(n))
-    area = F.sum(F.col("k") * (F.col("_n") - F.col("fp") + F.col("neg") / 2.0)) / (F.sum("k") * F.first("_n"))
+    area = _share(F.sum(F.col("k") * (F.col("_n") - F.col("fp") + F.col("neg") / 2.0)), F.sum("k") * F.first("_n"))
     got = joined.groupBy("technique_id").agg(F.sum("k").alias("n_attack"), area.alias("_a"))
     few = F.col("n_attack") < min_events
     return got.select("technique_id", "n_attack", F.when(~few, F.col("_a")).alias("auroc"), few.alias("skipped"))

@@ -55,3 +55,10 @@ def test_true_positive_rates_of_one_class(spark, vertices_only):
     assert [r["tpr"] for r in found(True)] == [0.0, 0.0]
     none, every = (r["tpr"] for r in found(False))
     assert none == 0.0 and np.isnan(every)
+
+
+def test_techniques_without_benign_rows(spark, attacked):
+    rows = [sorted(tuple(r) for r in queries.QUERIES["q_per_technique_auroc"](spark, attacked).collect()), twin("q_per_technique_auroc", attacked)]
+    for got in rows:  # NaN where nothing is compared, null where a technique has too few rows
+        assert [(t, n, a is not None and np.isnan(a), few) for t, n, a, few in got] == [("T0", 160, True, False), ("T1", 160, True, False), ("T2", 20, False, True)]
+        assert got[2][2] is None
